@@ -1,12 +1,51 @@
-"""A corpus clean-up in five stages, each an operator of quadloom.llm."""
+"""A corpus clean-up in five stages, each an operator of quadloom.llm.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents, with
+n_chars brought up to date where the text changes.  The last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadloom.llm import line_dedup, ngram_join, packing, pii, toxicity
+
+
+def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more for toxicity go."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of 50 words or more go; so do documents that lose all their words by it."""
+    done = line_dedup.apply(docs)
+    emptied = (F.col("lines_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    return _recounted(done.where(~F.coalesce(emptied, F.lit(False))), docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return ngram_join.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to their kinds in brackets."""
+    return _recounted(pii.mask(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", drop_near_copies), ("PII", mask_personal_data), ("best-fit packing", pack)]
 
-#: No stage but the last could be put as SQL; tests hold run() against a brute-force version.
+#: Tokenisers and trained models aren't SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -7,6 +7,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edge to another node have no row.  Nulls and self-loops are dropped; no edges give no
     rows.  Raises after `rounds` rounds rather than return components that are not final.
     """
-    e = cut(edges.selectExpr("cast(a as long) a", "cast(b as long) b").where("a is not null and b is not null and a <> b").mapInArrow(_forest, "a long, b long"))
+    e = cut(edges.toDF("a", "b").selectExpr("cast(a as long) a", "cast(b as long) b").where("a is not null and b is not null and a <> b").mapInArrow(_forest, "a long, b long"))
     for _ in range(rounds):
         # large star: every neighbour above the node points at the least neighbour
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -127,3 +128,44 @@ def bits(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows (of a few numbers each), else as it is.
+
+    `df` should be a checkpoint, so that the count is cheap.  Beyond the bound Spark joins by shuffle.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash, remembered; bounded by `forget`."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 1_000_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+word_hashes = WordHashes()
+
+
+def shingles(text: str, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles of a text.
+
+    Words are the blank-separated parts of the lower-cased text.  A text of fewer than n words, but
+    one at least, has one shingle: all its words.  A text without words has none.
+    """
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = word_hashes.of(words)
+    n = min(n, len(words))
+    out = np.full(len(h) - n + 1, n, np.uint64)
+    for j in range(n):
+        out = bits(out ^ h[j : len(h) - n + 1 + j])
+    return np.unique(out)
