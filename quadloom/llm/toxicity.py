@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, text_of
 
-MAX_EXAMPLES = 4000
+MAX_EXAMPLES = 2000
 PREFIXES = (4, 5, 6)
 VOCABULARY = 3000
 BLOCK = 64
@@ -42,31 +42,42 @@ PRIOR = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str, known: dict | None = None) -> Counter:
-    """Terms of a text with their counts; with `known`, only those in it."""
-    words = Counter(WORD.findall(text.lower()))
-    out: Counter = Counter()
-    for w, n in words.items():
-        for p in (w, *(f"{w[:k]}-" for k in PREFIXES if len(w) > k)):
-            if known is None or p in known:
-                out[p] += n
-    return out
+def forms(word: str) -> list[str]:
+    """Terms of one lower-cased word: itself and its leading letters."""
+    return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) > k)]
+
+
+class Vocabulary(dict):
+    """word -> numbers of those of its terms that were chosen; filled as words come, and bounded."""
+
+    def __init__(self, terms: dict[str, int]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = tuple([self.terms[t] for t in forms(word) if t in self.terms])
+        return got
 
 
 class Index:
     """Block-max inverted index of the examples."""
 
-    def __init__(self, texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, k: int = K):
+    def __init__(self, texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), vocabulary: int = VOCABULARY, k: int = K):
+        """weights: how many labelled rows an example of label 0 and of label 1 stands for."""
         self.k, n = k, len(texts)
         y = np.array(labels, bool)
+        self.weight = np.where(y, weights[1], weights[0])
         seen, toxic = Counter(), Counter()
         for t, v in zip(texts, labels):
-            own = terms(t).keys()
+            own = {f for w in set(WORD.findall(t.lower())) for f in forms(w)}
             seen.update(own)
             if v:
                 toxic.update(own)
-        self.base = float(y.mean()) if n else 0.0
+        self.base = float(self.weight[y].sum() / self.weight.sum()) if n else 0.0
         self.terms: dict[str, int] = {}
+        self.words = Vocabulary({})
         self.post: list[tuple] = []
         self.empty = self.base
         self.steps = (np.array([0.0]), np.array([self.base]))
@@ -84,6 +95,7 @@ class Index:
         chosen.sort()
         chosen = chosen[:vocabulary]
         self.terms = {w: i for i, (_, w, _) in enumerate(chosen)}
+        self.words = Vocabulary(self.terms)
         # a term's weight: log inverse document frequency; its count enters as 1 + log
         self.idf = np.array([1.0 + np.log(n / c) for _, _, c in chosen])
         rows: list[list[tuple[int, float]]] = [[] for _ in chosen]
@@ -97,24 +109,32 @@ class Index:
             docs, w = np.array([d for d, _ in r], np.int64), np.array([x for _, x in r])
             cuts = np.flatnonzero(np.diff(docs // BLOCK)) + 1
             starts = np.concatenate([[0], cuts]).astype(np.int64) if len(docs) else np.zeros(0, np.int64)
-            self.post.append((docs, w, starts, docs[starts] // BLOCK, np.maximum.reduceat(w, starts)) if len(docs) else (docs, w, starts, starts, w))
+            top = (docs[starts] // BLOCK, np.maximum.reduceat(w, starts)) if len(docs) else (docs, w)
+            self.post.append((docs // BLOCK, docs % BLOCK, w, *top))
         self.blocks = -(-n // BLOCK)
         self.n = n
-        shares, kept, none = [], [], []
+        shares, kept, at, none = [], [], [], []
         for d, (ids, w) in enumerate(vectors):
             if len(ids):
                 shares.append(self.share(*self.nearest(ids, w, without=d)))
                 kept.append(y[d])
+                at.append(d)
             else:
-                none.append(y[d])
-        self.empty = (float(np.sum(none)) + self.base) / (len(none) + 1) if none else 0.0
-        self.steps = isotonic(np.array(shares), np.array(kept, float))
+                none.append(d)
+        self.empty = float(((self.weight[none] * y[none]).sum() + self.base) / (self.weight[none].sum() + 1))
+        self.steps = isotonic(np.array(shares), np.array(kept, float), self.weight[at])
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and unit-length weights of a text's vocabulary terms."""
-        got = terms(text, self.terms)
-        ids = np.array([self.terms[t] for t in got], np.int64)
-        w = (1.0 + np.log(np.array(list(got.values()), float))) * self.idf[ids] if len(ids) else np.zeros(0)
+        words = self.words
+        got: dict[int, int] = {}
+        for w, c in Counter(WORD.findall(text.lower())).items():
+            for i in words[w]:
+                got[i] = got.get(i, 0) + c
+        if not got:
+            return np.zeros(0, np.int64), np.zeros(0)
+        ids = np.fromiter(got, np.int64, len(got))
+        w = (1.0 + np.log(np.fromiter(got.values(), float, len(got)))) * self.idf[ids]
         norm = np.sqrt((w * w).sum())
         return ids, w / norm if norm > 0 else w
 
@@ -123,7 +143,7 @@ class Index:
         bound = np.zeros(self.blocks)
         post = [self.post[i] for i in ids.tolist()]
         for x, (_, _, _, blk, top) in zip(w.tolist(), post):
-            bound[blk] += x * top
+            bound[blk] += x * top  # a term's blocks are distinct
         k = self.k + (without >= 0)
         best_d, best_s, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
         order = np.argsort(-bound, kind="stable")
@@ -135,10 +155,10 @@ class Index:
             slot = np.full(self.blocks, -1, np.int64)
             slot[part] = np.arange(len(part))
             score = np.zeros(len(part) * BLOCK)
-            for x, (docs, weights, _, _, _) in zip(w.tolist(), post):
-                s = slot[docs // BLOCK]
+            for x, (blocks, places, weights, _, _) in zip(w.tolist(), post):
+                s = slot[blocks]
                 hit = s >= 0
-                score[s[hit] * BLOCK + docs[hit] % BLOCK] += x * weights[hit]
+                score[s[hit] * BLOCK + places[hit]] += x * weights[hit]
             got = np.flatnonzero(score > 0)
             d = part[got // BLOCK] * BLOCK + got % BLOCK
             best_d, best_s = np.concatenate([best_d, d]), np.concatenate([best_s, score[got]])
@@ -152,7 +172,7 @@ class Index:
 
     def share(self, docs: np.ndarray, sims: np.ndarray) -> float:
         """Toxic share of the votes; a vote weighs its example's similarity over its distance."""
-        v = sims / (1.05 - sims)
+        v = self.weight[docs] * sims / (1.05 - sims)
         return float((v[self.labels[docs]].sum() + PRIOR * self.base) / (v.sum() + PRIOR))
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
@@ -167,14 +187,14 @@ class Index:
         return float(np.interp(self.share(docs, sims), x, y)), docs.tolist(), sims.tolist()
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the monotone function of x that fits y best (pool adjacent violators)."""
     if not len(x):
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []  # mean of y, weight, mean of x
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
-        pools.append([b, 1.0, a])
+    for a, b, c in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        pools.append([b, c, a])
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             b2, n2, a2 = pools.pop()
             b1, n1, a1 = pools[-1]
@@ -188,10 +208,11 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def examples(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """A bounded sample of labelled rows, at most max_examples of each label, by hash order."""
+def train(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+    """Index of a bounded sample of labelled rows: at most max_examples of each label, in hash order."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1)).where(~held_out("_id"))
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))
+    many = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     # the sample is drawn from ids alone, then only its texts are fetched
     draw = None
     for y in (0, 1):
@@ -200,14 +221,14 @@ def examples(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EX
     texts = documents.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     rows = texts.join(F.broadcast(draw), "_id").select("_id", "_t", "_y").collect()
     rows = sorted({(r["_id"], r["_t"], r["_y"]) for r in rows})[: 2 * max_examples]
-    return [(t, y) for _, t, y in rows]
+    drawn = [max(1, sum(y == v for _, _, y in rows)) for v in (0, 1)]
+    return Index([t for _, t, _ in rows], [y for _, _, y in rows], (many.get(0, 1) / drawn[0], many.get(1, 1) / drawn[1]))
 
 
 def score(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, score, predicted, neighbours array<long>, similarities array<double>)."""
     spark = documents.sparkSession
-    got = examples(documents, labels, max_examples, id_col, text_col)
-    shared = spark.sparkContext.broadcast(Index([t for t, _ in got], [y for _, y in got]))
+    shared = spark.sparkContext.broadcast(train(documents, labels, max_examples, id_col, text_col))
 
     def run(batch):
         index = shared.value
@@ -228,8 +249,7 @@ def score(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMP
 def reject(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `documents`, all columns kept, whose score is below `threshold`."""
     spark = documents.sparkSession
-    got = examples(documents, labels, max_examples, id_col, text_col)
-    shared = spark.sparkContext.broadcast(Index([t for t, _ in got], [y for _, y in got]))
+    shared = spark.sparkContext.broadcast(train(documents, labels, max_examples, id_col, text_col))
     names = documents.columns
     at = names.index(text_col)
 
