@@ -84,7 +84,7 @@ sparql("values_after", 'SELECT ?n ?m { ?c t:c_name ?n ; t:c_mktsegment ?m } VALU
 sparql("subselect", "SELECT ?o { { SELECT ?c (MAX(?p) AS ?mp) { ?x t:o_customer ?c ; t:o_totalprice ?p } GROUP BY ?c } ?o t:o_customer ?c ; t:o_totalprice ?mp }", "SELECT o_orderkey AS o FROM orders JOIN (SELECT o_custkey c, max(o_totalprice) mp FROM orders GROUP BY 1) m ON o_custkey=c AND o_totalprice=mp", key("o"))
 
 # -- projection, modifiers and forms
-sparql("bind_arith", "SELECT ?rev { ?l t:l_extendedprice ?p ; t:l_discount ?d BIND(?p * (1 - ?d) AS ?rev) }", "SELECT round(l_extendedprice*(1-l_discount),2) AS rev FROM lineitem", rounded("rev"))
+sparql("bind_arith", "SELECT ?rev { ?l t:l_extendedprice ?p ; t:l_discount ?d BIND(?p * (1 - ?d) AS ?rev) }", "SELECT round(l_extendedprice*(1-l_discount),5) AS rev FROM lineitem", rounded("rev", digits=5))
 sparql("select_star", "SELECT * { ?r t:r_name ?n }", "SELECT r_name AS n, 'urn:tpch:region/' || r_regionkey AS r FROM region")
 sparql("distinct_proj", "SELECT DISTINCT ?s { ?o t:o_orderstatus ?s }", "SELECT DISTINCT o_orderstatus AS s FROM orders")
 sparql("topk", "SELECT ?o ?p { ?o t:o_totalprice ?p } ORDER BY DESC(?p) ?o LIMIT 10", "SELECT 'urn:tpch:order/' || o_orderkey AS o, o_totalprice AS p FROM orders ORDER BY p DESC, o LIMIT 10")
