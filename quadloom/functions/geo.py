@@ -20,6 +20,11 @@ SRID = 4326
 NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 
 
+def let(x: Column, fn) -> Column:
+    """fn of x with x evaluated once: a lambda's variable stands for it, so the expression doesn't multiply."""
+    return F.element_at(F.transform(F.array(x), fn), 1)
+
+
 def _shape(n: Column, rect: Column) -> Column:
     xs, ys = F.filter(n, lambda _, k: k % 2 == 0), F.filter(n, lambda _, k: k % 2 == 1)
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"), (~rect).alias("point"))
@@ -27,7 +32,7 @@ def _shape(n: Column, rect: Column) -> Column:
 
 def _ring(n: Column) -> Column:
     """Whether ten numbers walk round an axis-aligned rectangle and come back."""
-    at = lambda k: F.element_at(n, k)
+    at = lambda k: F.try_element_at(n, F.lit(k))
     closed = (at(1) == at(9)) & (at(2) == at(10))
     first_x = (at(2) == at(4)) & (at(3) == at(5)) & (at(6) == at(8)) & (at(7) == at(1))
     first_y = (at(1) == at(3)) & (at(4) == at(6)) & (at(5) == at(7)) & (at(8) == at(2))
@@ -35,15 +40,23 @@ def _ring(n: Column) -> Column:
 
 
 def parse_wkt(s: Column) -> Column:
-    body = F.trim(F.regexp_replace(s, rf"^\s*<{CRS84}>\s*", ""))
+    return let(F.trim(F.regexp_replace(s, rf"^\s*<{CRS84}>\s*", "")), _parse_body)
+
+
+def _parse_body(body: Column) -> Column:
     pair = rf"{NUMBER}\s+{NUMBER}"
-    n = F.transform(F.regexp_extract_all(body, F.lit(f"({NUMBER})"), F.lit(1)), lambda x: x.cast("double"))
+    numbers = F.transform(F.regexp_extract_all(body, F.lit(f"({NUMBER})"), F.lit(1)), lambda x: x.cast("double"))
     point = body.rlike(rf"^(?i)POINT\s*\(\s*{pair}\s*\)$")
     poly = body.rlike(rf"^(?i)POLYGON\s*\(\s*\(\s*{pair}(?:\s*,\s*{pair}){{4}}\s*\)\s*\)$")
     env = body.rlike(rf"^(?i)ENVELOPE\s*\(\s*{NUMBER}(?:[\s,]+{NUMBER}){{3}}\s*\)$")
-    e = lambda k: F.element_at(n, k)
-    box = F.struct(e(1).alias("xmin"), e(2).alias("ymin"), e(3).alias("xmax"), e(4).alias("ymax"), F.lit(False).alias("point"))
-    return F.when(point, _shape(n, F.lit(False))).when(poly, F.when(_ring(n), _shape(n, F.lit(True)))).when(env, F.when((e(1) <= e(3)) & (e(2) <= e(4)), box))
+
+
+    def shape(n: Column) -> Column:
+        e = lambda k: F.try_element_at(n, F.lit(k))
+        box = F.struct(e(1).alias("xmin"), e(2).alias("ymin"), e(3).alias("xmax"), e(4).alias("ymax"), F.lit(False).alias("point"))
+        return F.when(point, _shape(n, F.lit(False))).when(poly, F.when(_ring(n), _shape(n, F.lit(True)))).when(env, F.when((e(1) <= e(3)) & (e(2) <= e(4)), box))
+
+    return let(numbers, shape)
 
 
 def parse_geojson(s: Column) -> Column:
@@ -120,24 +133,23 @@ def _typed(v: Column, dt: str) -> Value:
 
 def call(name: str, args: list[Value]) -> Value:
     """A geof: function by its lower-cased local name."""
-    g = [geometry(a) for a in args[:2]]
+    one = lambda fn: let(geometry(args[0]), fn)
+    two = lambda fn: let(F.struct(geometry(args[0]).alias("a"), geometry(args[1]).alias("b")), lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), fn(p["a"], p["b"])))
     if name in RELATIONS and len(args) == 2:
-        return Value(F.when(g[0].isNotNull() & g[1].isNotNull(), RELATIONS[name](*g)), BOOL)
+        return Value(two(RELATIONS[name]), BOOL)
     if name == "distance" and len(args) in (2, 3):
-        metres = distance(*g)
+        metres = two(distance)
         if len(args) == 2:
             return Value(metres, DBL)
         unit = args[2]
         u = F.lower(iri_text(unit) if unit.type.kind in ("iri", "node") else text(unit) if unit.type != TERM else unit.col["v"])
         return Value(F.when(u.rlike(r"kilomet(re|er)s?$|(^|/)km$"), metres / 1000).when(u.rlike(r"(^|[/#])met(re|er)s?$|(^|/)m$"), metres), DBL)
-    if name == "envelope":
-        return _typed(as_wkt(F.when(g[0].isNotNull(), F.struct(*[g[0][k].alias(k) for k in ("xmin", "ymin", "xmax", "ymax")], g[0]["point"].alias("point")))), WKT)
+    if name in ("envelope", "aswkt"):
+        return _typed(one(as_wkt), WKT)
+    if name == "asgeojson":
+        return _typed(one(as_geojson), GEOJSON)
     if name == "getsrid":
-        return Value(F.when(g[0].isNotNull(), F.lit(SRID).cast("bigint")), INT)
+        return Value(one(lambda g: F.when(g.isNotNull(), F.lit(SRID).cast("bigint"))), INT)
     if name in ("issimple", "isvalid"):
-        return Value(F.when(g[0].isNotNull(), F.lit(True)), BOOL)
-    if name == "aswkt":
-        return _typed(as_wkt(g[0]), WKT)
-    if name == "asgeojson":
-        return _typed(as_geojson(g[0]), GEOJSON)
+        return Value(one(lambda g: F.when(g.isNotNull(), F.lit(True))), BOOL)
     raise QueryError(f"unknown function geof:{name}")
