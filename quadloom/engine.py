@@ -5,10 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions.values import iri_text, to_term
+from .lineage import cut
+from .operators.reasoner import Report, materialize
+from .operators.shacl import validate
 from .plans import compiler
 from .plans.parser import Query, parse_query
 from .sources.mapping import Dataset, star_tables
+from .terms import Var
 
 
 @dataclass
@@ -28,6 +34,21 @@ class Engine:
     def ask(self, text: str) -> bool:
         return self.query(text).first()[0]
 
+    def infer(self, **options) -> tuple["Engine", Report]:
+        """An engine that also sees what the rules derive, and the reasoner's report."""
+        quads = as_quads(self.data)
+        report = materialize(quads, **options)
+        own = self.data.quads
+        inferred = cut(report.inferred)
+        predicates = {r["p"] for r in inferred.select("p").distinct().limit(100_000).collect()}
+        if own is not None:
+            inferred, predicates = own.unionByName(inferred).distinct(), None if self.data.predicates is None else predicates | self.data.predicates
+        return Engine(self.data.with_quads(inferred, predicates), self.prefixes), report
+
+    def validate(self, shapes: DataFrame) -> tuple[bool, DataFrame]:
+        """SHACL: whether the data conform to a shapes graph, and the results."""
+        return validate(self.data, shapes)
+
     def explain(self, text: str) -> str:
         """The algebra, and the plan that Spark makes of it with its cost figures."""
         q = self.parse(text)
@@ -36,6 +57,12 @@ class Engine:
         return f"== Algebra ==\n{outline(q.pattern)}\n{plan}"
 
 
+def as_quads(data: Dataset) -> DataFrame:
+    """Default graph of a dataset as quads, mapped tables included."""
+    f = compiler.Compiler(data).any_predicate(Var("s"), Var("p"), Var("o"), None)
+    return f.df.select(F.lit(None).cast("string").alias("g"), iri_text(f.scope["s"]).alias("s"), iri_text(f.scope["p"]).alias("p"), to_term(f.scope["o"]).alias("o"))
+
+
 def outline(p, depth: int = 0) -> str:
     """A pattern as an indented tree."""
     pad = "  " * depth

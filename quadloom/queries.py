@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import tables_engine
+from .engine import Engine, as_quads, tables_engine
+from .operators import semantic
+from .operators.reasoner import materialize
+from .sources.mapping import Dataset
+from .sources.rdf_io import results_json, statement
+from .store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +157,146 @@ GEOF = "PREFIX geof: <http://www.opengis.net/def/function/geosparql/> "
 sparql("geo_distance", GEOF + f"SELECT ?k (geof:distance(?a, ?b) AS ?d) {{ {POINTS} }}", "SELECT n_nationkey::BIGINT AS k, round(2*6371008.8*asin(sqrt(pow(sin(radians(50-(n_nationkey*2-25))/2),2) + cos(radians(n_nationkey*2-25))*cos(radians(50))*pow(sin(radians(10-(n_nationkey*5-60))/2),2))), 2) AS d FROM nation", rounded("d"))
 sparql("geo_relations", GEOF + f"SELECT ?k (geof:sfWithin(?a, ?r) AS ?w) (geof:sfTouches(?a, ?r) AS ?t) (geof:sfIntersects(?a, ?r) AS ?i) (geof:sfDisjoint(?a, ?r) AS ?j) (geof:sfContains(?r, ?a) AS ?c) (geof:sfCrosses(?a, ?r) AS ?x) {{ {POINTS} BIND('POLYGON((-50 -30, 0 -30, 0 0, -50 0, -50 -30))'^^<http://www.opengis.net/ont/geosparql#wktLiteral> AS ?r) }}", "SELECT n_nationkey::BIGINT AS k, x > -50 AND x < 0 AND y > -30 AND y < 0 AS w, i AND NOT (x > -50 AND x < 0 AND y > -30 AND y < 0) AS t, i, NOT i AS j, x > -50 AND x < 0 AND y > -30 AND y < 0 AS c, false AS x FROM (SELECT *, x >= -50 AND x <= 0 AND y >= -30 AND y <= 0 AS i FROM (SELECT n_nationkey, n_nationkey*5-60 AS x, n_nationkey*2-25 AS y FROM nation))")
 sparql("geo_text", GEOF + f"SELECT ?k (STR(geof:envelope(?a)) AS ?e) (geof:getSRID(?a) AS ?s) (geof:isValid(?a) AS ?v) {{ {POINTS} }}", "SELECT n_nationkey::BIGINT AS k, 'POINT(' || (n_nationkey*5-60) || ' ' || (n_nationkey*2-25) || ')' AS e, 4326::BIGINT AS s, true AS v FROM nation")
+
+
+# -- reasoning, validation, updates, files and vectors
+def registered(oracle: str | None = None):
+    """Register a function of (spark, sf_dir) under its name."""
+
+    def take(fn):
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return take
+
+
+def part_of(spark: SparkSession, sf_dir: str, *names: str, keep: tuple[str, ...] | None = None) -> Dataset:
+    """Some tables of the mapping, and if wanted only some predicates."""
+    data = tables_engine(spark, sf_dir).data
+    maps = [m for m in data.maps if m.name in names]
+    if keep is not None:
+        maps = [type(m)(m.name, m.df, m.subject, m.cls, {p: v for p, v in m.columns.items() if p.split(":")[-1] in keep}, m.graph) for m in maps]
+    return Dataset(spark, maps)
+
+
+def statements(spark: SparkSession, text: str) -> DataFrame:
+    """Quads of a small Turtle text (schemas and shapes that belong to a query)."""
+    from .sources.rdf_io import QUADS, canonical, parse_streaming
+
+    rows = [(e[1], e[2], e[3], e[4]) for e in parse_streaming(text, "q_") if e[0] == "quad"]
+    df = spark.createDataFrame(rows, QUADS)
+    v, dt = canonical(F.col("o.v"), F.col("o.dt"))
+    lit = F.col("o.kind") == "literal"
+    return df.withColumn("o", F.struct(F.col("o.kind").alias("kind"), F.when(lit, v).otherwise(F.col("o.v")).alias("v"), F.when(lit, dt).alias("dt"), F.col("o.lang").alias("lang")))
+
+
+TURTLE = "@prefix t: <urn:tpch:> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix sh: <http://www.w3.org/ns/shacl#> . "
+
+
+@registered("SELECT c_custkey AS c FROM customer")
+def infer_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = part_of(spark, sf_dir, "customer", keep=("c_nation",)).with_quads(statements(spark, TURTLE + "t:c_nation rdfs:domain t:Located ."))
+    engine, _ = Engine(data, {"t": "urn:tpch:"}).infer()
+    return key("c")(engine.query("SELECT ?c { ?c a t:Located }"))
+
+
+@registered("SELECT 'urn:tpch:customer/' || c_custkey AS x FROM customer UNION ALL SELECT 'urn:tpch:supplier/' || s_suppkey FROM supplier")
+def infer_subclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = part_of(spark, sf_dir, "customer", "supplier", keep=()).with_quads(statements(spark, TURTLE + "t:Customer rdfs:subClassOf t:Party . t:Supplier rdfs:subClassOf t:Party ."))
+    engine, _ = Engine(data, {"t": "urn:tpch:"}).infer()
+    return engine.query("SELECT ?x { ?x a t:Party }")
+
+
+@registered("SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1")
+def infer_inverse_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """owl:inverseOf over a foreign key."""
+    data = part_of(spark, sf_dir, "nation", keep=("n_region",)).with_quads(statements(spark, TURTLE + "t:n_region owl:inverseOf t:hasNation ."))
+    engine, _ = Engine(data, {"t": "urn:tpch:"}).infer()
+    return key("r")(engine.query("SELECT ?r (COUNT(?n) AS ?n2) { ?r t:hasNation ?n } GROUP BY ?r")).select(F.col("r").cast("int").alias("r"), F.col("n2").alias("n"))
+
+
+@registered("SELECT 741::BIGINT AS n, false AS timed_out, false AS inconsistent")
+def infer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = TURTLE + " ".join(f"t:n{k} rdfs:subClassOf t:n{k + 1} ." for k in range(1, 40))
+    r = materialize(statements(spark, text))
+    return spark.range(1).select(F.lit(r.inferred_triples).cast("bigint").alias("n"), F.lit(r.timed_out).alias("timed_out"), F.lit(r.inconsistent).alias("inconsistent"))
+
+
+@registered("SELECT c_custkey AS focus, c_acctbal AS value FROM customer WHERE c_acctbal<0")
+def shacl_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = statements(spark, TURTLE + "t:S a sh:NodeShape ; sh:targetClass t:Customer ; sh:property [ sh:path t:c_acctbal ; sh:minInclusive 0 ] .")
+    _, rows = Engine(part_of(spark, sf_dir, "customer")).validate(shapes)
+    return rows.select(F.regexp_extract("focus_node.v", "([0-9]+)$", 1).cast("bigint").alias("focus"), F.col("value.v").cast("double").alias("value"))
+
+
+@registered("SELECT d.doc_id AS focus FROM documents d ANTI JOIN labels b ON d.doc_id=b.doc_id")
+def shacl_min_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = statements(spark, TURTLE + "t:S a sh:NodeShape ; sh:targetClass t:Document ; sh:property [ sh:path t:quality ; sh:minCount 1 ] .")
+    _, rows = Engine(part_of(spark, sf_dir, "documents", "labels")).validate(shapes)
+    return rows.select(F.regexp_extract("focus_node.v", "([0-9]+)$", 1).cast("bigint").alias("focus"))
+
+
+@registered("SELECT 'Datatype' AS component, count(*) AS n FROM part UNION ALL SELECT 'Pattern', count(*) FROM part WHERE NOT regexp_matches(p_name, 'l') HAVING count(*)>0 UNION ALL SELECT 'In', count(*) FROM part WHERE p_size NOT IN (1,2,3) HAVING count(*)>0")
+def shacl_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = statements(spark, TURTLE + "t:S a sh:NodeShape ; sh:targetClass t:Part ; sh:property [ sh:path t:p_retailprice ; sh:datatype t:none ] ; sh:property [ sh:path t:p_name ; sh:pattern 'l' ] ; sh:property [ sh:path t:p_size ; sh:in ( 1 2 3 ) ] .")
+    _, rows = Engine(part_of(spark, sf_dir, "part")).validate(shapes)
+    return rows.groupBy(F.regexp_extract("component", "#(.*)ConstraintComponent", 1).alias("component")).agg(F.count("*").alias("n"))
+
+
+@registered("SELECT CASE WHEN o_orderstatus='F' THEN 'X' ELSE o_orderstatus END AS s, count(*) AS n FROM orders GROUP BY 1")
+def update_delete_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, as_quads(part_of(spark, sf_dir, "orders", keep=("o_orderstatus",))))
+    store.update('DELETE { ?o t:o_orderstatus "F" } INSERT { ?o t:o_orderstatus "X" } WHERE { ?o t:o_orderstatus "F" }', {"t": "urn:tpch:"})
+    df = Engine(store.dataset(), {"t": "urn:tpch:"}).query("SELECT ?s (COUNT(?o) AS ?n) { ?o t:o_orderstatus ?s } GROUP BY ?s")
+    return df.withColumn("s", F.col("s.v"))
+
+
+@registered("SELECT 'urn:x:b' AS g, count(*) AS n FROM nation")
+def update_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, as_quads(part_of(spark, sf_dir, "nation", keep=("n_name",))))
+    store.update("INSERT { GRAPH <urn:x:a> { ?n t:n_name ?v } } WHERE { ?n t:n_name ?v } ; COPY <urn:x:a> TO <urn:x:b> ; DROP GRAPH <urn:x:a> ; CLEAR DEFAULT", {"t": "urn:tpch:"})
+    return Engine(store.dataset()).query("SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g")
+
+
+@registered("SELECT count(*) AS now, (SELECT count(*) FROM region) AS before FROM region WHERE r_regionkey > 1")
+def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, as_quads(part_of(spark, sf_dir, "region", keep=("r_name", "r_regionkey"))))
+    first = store.pin()
+    store.update("DELETE { ?r ?p ?o } WHERE { ?r t:r_regionkey ?k ; ?p ?o FILTER(?k <= 1) }", {"t": "urn:tpch:"})
+    count = lambda v: Engine(store.dataset(v), {"t": "urn:tpch:"}).query("SELECT (COUNT(*) AS ?n) { ?r t:r_name ?x }")
+    return count(None).withColumnRenamed("n", "now").crossJoin(count(first).withColumnRenamed("n", "before"))
+
+
+@registered("SELECT '<urn:tpch:region/' || r_regionkey || '> <urn:tpch:r_name> \"' || r_name || '\" .' AS line FROM region")
+def write_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quads = as_quads(part_of(spark, sf_dir, "region", keep=("r_name",))).where(F.col("p") == "urn:tpch:r_name")
+    return quads.select(statement(False).alias("line"))
+
+
+@registered("""SELECT '{"k":{"type":"literal","value":"' || r_regionkey || '","datatype":"http://www.w3.org/2001/XMLSchema#integer"},"n":{"type":"literal","value":"' || r_name || '"}}' AS binding FROM region""")
+def json_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results_json(tables_engine(spark, sf_dir).query("SELECT ?k ?n { ?r t:r_regionkey ?k ; t:r_name ?n }"))
+
+
+@registered("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id=0) q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    first = df.where("vec_id = 0").select("embedding").first()
+    hits = semantic.top_k(df, "embedding", list(first[0]) if first else [0.0], 10, "vec_id")
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@registered()
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names nearest to a phrase; hashing has no SQL twin."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower("p_name").alias("term")).distinct()
+    vectors = names.select("term", semantic.embedding(F.col("term")).alias("vec"))
+    return semantic.top_k(vectors, "vec", semantic.embed("large steel").tolist(), 10, "term")
+
+
+@registered("SELECT 5 * 3 + 25 * 4 AS quads, 30 AS subjects, 6 AS predicates")
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, as_quads(part_of(spark, sf_dir, "region", "nation")))
+    return store.statistics().select(*[F.col(c).cast("int").alias(c) for c in ("quads", "subjects", "predicates")])

@@ -51,7 +51,16 @@ def canonical(v: Column, dt: Column) -> tuple[Column, Column]:
 
 def read_lines(spark: SparkSession, path, quads: bool, strict: bool = True) -> DataFrame:
     """N-Triples or N-Quads; a bad line raises (strict) or is left out."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.concat(F.lit("f"), F.substring(F.sha1(F.col("_metadata.file_path")), 1, 12), F.lit("_")).alias("doc"))
+    return parse_lines(spark.read.text(path).select(F.col("value").alias("line"), document_label()), quads, strict)
+
+
+def document_label() -> Column:
+    """Prefix of a file's blank node labels."""
+    return F.concat(F.lit("f"), F.substring(F.sha1(F.col("_metadata.file_path")), 1, 12), F.lit("_")).alias("doc")
+
+
+def parse_lines(lines: DataFrame, quads: bool, strict: bool = True) -> DataFrame:
+    """Quads of lines (line, doc); works on streams as well."""
     lines = lines.where(~F.col("line").rlike(r"^\s*(#.*)?$"))
     part = lambda n: F.regexp_extract("line", LINE_RE, n)
     good = F.col("line").rlike(LINE_RE) & ((part(9) == "") & (part(10) == "") if not quads else part(10) == "")
@@ -278,7 +287,7 @@ def read_documents(spark: SparkSession, path, trig: bool) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=["g", "s", "p", "o"])
 
-    files = spark.read.text(path, wholetext=True).select("value", F.concat(F.lit("f"), F.substring(F.sha1(F.col("_metadata.file_path")), 1, 12), F.lit("_")).alias("doc"))
+    files = spark.read.text(path, wholetext=True).select("value", document_label())
     df = files.mapInPandas(run, QUADS)
     v, dt = canonical(F.col("o.v"), F.col("o.dt"))
     return df.withColumn("o", F.struct(F.col("o.kind").alias("kind"), F.when(F.col("o.kind") == "literal", v).otherwise(F.col("o.v")).alias("v"), F.when(F.col("o.kind") == "literal", dt).alias("dt"), F.col("o.lang").alias("lang")))
