@@ -251,14 +251,13 @@ def fit(texts: list[str]) -> Field:
     for t in texts:
         found = mentions(t, base_spans(t))
         labels = [max(y, 0) for _, _, y in found]
+        for a, b, kind in plain.edges(t, found):
+            # a loose mention alike to an observed one is what the field is to find: it takes that label
+            if kind and 0 in (labels[a], labels[b]):
+                labels[a] = labels[b] = max(labels[a], labels[b])
+            pairs[kind, labels[a], labels[b]] += 1
         xs += [features(t, s, e) for s, e, _ in found]
         ys += labels
-        for a, b, kind in plain.edges(t, found):
-            # a loose twin of an observed mention is what the field is to find: it counts as agreeing
-            la, lb = labels[a], labels[b]
-            if kind and 0 in (la, lb):
-                la = lb = max(la, lb)
-            pairs[kind, la, lb] += 1
     if not xs or len(set(ys)) < 2:
         return Field()
     x, y = np.stack(xs), np.eye(k)[ys]
