@@ -190,6 +190,15 @@ class Vocabulary:
         self.predicates = {r["p"] for r in pairs}
         self.classes = {r["o"] for r in pairs if r["o"]}
 
+    def copy(self) -> "Vocabulary":
+        out = Vocabulary.__new__(Vocabulary)
+        out.predicates, out.classes = set(self.predicates), set(self.classes)
+        return out
+
+    def add(self, other: "Vocabulary") -> None:
+        self.predicates |= other.predicates
+        self.classes |= other.classes
+
     def may(self, pattern: tuple) -> bool:
         _, p, o = pattern
         if p[0] == "?":
@@ -317,13 +326,14 @@ def materialize(quads: DataFrame, mode: str = "forward", max_rounds: int = 64, m
     work = start.unionByName(members.select(F.col("l").alias("s"), F.lit(MEMBER).alias("p"), F.col("m").alias("o")).distinct())
     work = cut(work)
     rules = parse_rules(RULES)
+    contradictions = parse_rules(CONTRADICTIONS)
     known, delta, rounds, late = work, work, 0, False
-    seen = Vocabulary(known, rules)
+    fresh = Vocabulary(known, rules + contradictions)
+    seen = fresh.copy()
     while True:
         if rounds >= max_rounds or max_seconds is not None and time.monotonic() - began > max_seconds:
             late = True
             break
-        fresh = Vocabulary(delta, rules)
         made = []
         for r in rules:
             if not all(seen.may(b) for b in r.body):
@@ -349,8 +359,9 @@ def materialize(quads: DataFrame, mode: str = "forward", max_rounds: int = 64, m
         if delta.isEmpty():
             break
         known = cut(known.unionByName(delta))
-        seen = Vocabulary(known, rules)
-    found = [r.name for r in parse_rules(CONTRADICTIONS) if Vocabulary(known, [r]).may_all(r) and not _body([_match(known, b) for b in r.body], r).isEmpty()]
+        fresh = Vocabulary(delta, rules + contradictions)
+        seen.add(fresh)
+    found = [r.name for r in contradictions if seen.may_all(r) and not _body([_match(known, b) for b in r.body], r).isEmpty()]
     if not ill_typed(known).isEmpty():
         found.append("dt-not-type")
     added = known.where(F.col("p") != MEMBER).join(start, ["s", "p", "o"], "left_anti")

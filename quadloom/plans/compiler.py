@@ -195,15 +195,29 @@ class Compiler:
             out.append(None)
         return out
 
-    def any_predicate(self, s, p: Var, o, graph) -> Frame:
-        """A pattern whose predicate is a variable: the union of all tables' columns and the quads."""
+    def any_predicate(self, s, p: Var, o, graph, near: list[Type] | None = None) -> Frame:
+        """A pattern whose predicate is a variable: all columns of all tables, one scan a table, and the quads.
+
+        near: subject types of other patterns that the subject must meet; tables of other subjects are left out.
+        """
         parts = []
         for m in self.tables(graph):
             if isinstance(s, Iri) and not s.value.startswith(m.subject.type.detail):
                 continue
-            for q, x in [*m.columns.items(), *([(RDF_TYPE, Value(F.lit(m.cls), FULL_IRI, False))] if m.cls else [])]:
-                df, pairs = self._graph_pairs(m, m.df, graph)
-                parts.append(self._bind(df.where(x.col.isNotNull()) if x.nullable else df, [*pairs, (s, m.subject), (p, Value(F.lit(q), FULL_IRI, False)), (o, x)]))
+            if near and not any(common(m.subject.type, t) for t in near):
+                continue
+            df, pairs = self._graph_pairs(m, m.df, graph)
+            cells = [*m.columns.items(), *([(RDF_TYPE, Value(F.lit(m.cls), FULL_IRI, False))] if m.cls else [])]
+            for t, x in pairs:  # conditions on constants go below the unfolding
+                if not isinstance(t, Var):
+                    df = df.where(term_equals(x, t, df))
+            if not isinstance(s, Var):
+                df = df.where(term_equals(m.subject, s, df))
+            keep = [(t, x) for t, x in [*pairs, (s, m.subject)] if isinstance(t, Var)]
+            cols = [x.col.alias(f"_x{n}") for n, (_, x) in enumerate(keep)]
+            rows = df.select(*cols, F.inline(F.array(*[F.struct(F.lit(q).alias("_p"), to_term(x).alias("_o")) for q, x in cells])))
+            fit = [(t, Value(F.col(f"_x{n}"), x.type, x.nullable)) for n, (t, x) in enumerate(keep)]
+            parts.append(self._bind(rows, [*fit, (p, Value(F.col("_p"), FULL_IRI, False)), (o, Value(F.col("_o"), TERM, True))]))
         if self.data.quads is not None:
             parts.append(self.scan_quads(s, p, o, graph))
         return self.union(parts) if parts else self.nothing({t.name for t in (s, p, o) if isinstance(t, Var)})
@@ -214,13 +228,19 @@ class Compiler:
     def bgp(self, triples: list, graph) -> Frame:
         stars: dict[object, list] = {}
         parts: list[Frame] = []
+        near: dict[object, list[Type]] = {}
+        for s, p, o in triples:
+            if isinstance(p, Iri) and isinstance(s, Var):
+                h = self.homes(p.value, o, graph)
+                if h and None not in h:
+                    near.setdefault(s, [m.subject.type for m in h])
         for s, p, o in triples:
             if isinstance(p, Iri) and p.value.startswith(GEO) and p.value[len(GEO) :] in ("asWKT", "asGeoJSON", "hasGeometry") and not self.homes(p.value, o, graph):
                 continue
             if isinstance(p, tuple):
-                parts.append(self.path(s, p, o, graph))
+                parts.append(self.path(s, p, o, graph, near.get(s)))
             elif isinstance(p, Var):
-                parts.append(self.any_predicate(s, p, o, graph))
+                parts.append(self.any_predicate(s, p, o, graph, near.get(s)))
             else:
                 stars.setdefault(s, []).append((p.value, o))
         for s, star in stars.items():
@@ -463,7 +483,7 @@ class Compiler:
         return f, (e[0], e[1], args)
 
     # -- paths
-    def path(self, s, p, o, graph) -> Frame:
+    def path(self, s, p, o, graph, near: list[Type] | None = None) -> Frame:
         kind = p[0]
         if kind == "pred":
             return self.bgp([(s, Iri(p[1]), o)], graph)
@@ -476,21 +496,24 @@ class Compiler:
         if kind == "alt":
             return self.union([self.path(s, p[1], o, graph), self.path(s, p[2], o, graph)])
         if kind == "not":
-            return self.negated(s, p[1], p[2], o, graph)
-        return self.reach(s, p, o, graph)
+            return self.negated(s, p[1], p[2], o, graph, near)
+        return self.reach(s, p, o, graph, near)
 
-    def negated(self, s, ahead: list[str], back: list[str], o, graph) -> Frame:
+    def negated(self, s, ahead: list[str], back: list[str], o, graph, near: list[Type] | None = None) -> Frame:
         parts = []
         for iris, a, b in ((ahead, s, o), (back, o, s)):
             if iris or (not ahead and not back and a is s):
                 v = Var("_p" + fresh())
-                f = self.any_predicate(a, v, b, graph)
+                f = self.any_predicate(a, v, b, graph, near if a is s else None)
                 f = f.where(~iri_text(f.scope[v.name]).isin(iris)) if iris else f
                 parts.append(Frame(f.df, {n: x for n, x in f.scope.items() if n != v.name}))
         return self.union(parts)
 
-    def reach(self, s, p, o, graph) -> Frame:
-        """p+, p* and p? as sets of pairs."""
+    def reach(self, s, p, o, graph, near: list[Type] | None = None) -> Frame:
+        """p+, p* and p? as sets of pairs.
+
+        near: subject types of other patterns that s must meet; only such nodes need a pair with themselves.
+        """
         g = graph if isinstance(graph, Var) else None
         a, b = Var("_s"), Var("_o")
         step = self.path(a, p[1], b, graph)
@@ -520,7 +543,7 @@ class Compiler:
             if start is not None:
                 nodes = start
             else:
-                nodes = self.nodes(graph)
+                nodes = self.nodes(graph, near)
             if known and start is None:
                 nodes = nodes.union(self.data.spark.range(1).select(known[0]))
             pairs = pairs.unionByName(nodes.toDF("s").select("s", F.col("s").alias("o"))).distinct()
@@ -528,8 +551,14 @@ class Compiler:
             pairs = pairs.select(F.col("o").alias("s"), F.col("s").alias("o"))
         return self._bind(pairs.distinct(), [(s, Value(F.col("s"), kind, False)), (o, Value(F.col("o"), kind, False))])
 
-    def nodes(self, graph) -> DataFrame:
-        """All subjects and objects of the graph, as terms."""
+    def nodes(self, graph, near: list[Type] | None = None) -> DataFrame:
+        """All subjects and objects of the graph, as terms; with `near`, only subjects of such types."""
+        if near:
+            parts = [m.df.select(to_term(m.subject).alias("s")) for m in self.tables(graph) if m.subject.type in near]
+            out = parts[0]
+            for d in parts[1:]:
+                out = out.union(d)
+            return out.distinct()
         f = self.any_predicate(Var("_s"), Var("_q"), Var("_o"), graph)
         return f.df.select(to_term(f.scope["_s"]).alias("s")).union(f.df.select(to_term(f.scope["_o"]))).distinct()
 
