@@ -95,8 +95,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b), both long: rows (id, component).
 
     `component` is the smallest id that can be reached.  Large-star / small-star rounds:
-    each is a partial minimum by node and a join, so a node with very many edges is
-    pre-aggregated before its shuffle and never gathered in one task.  Nodes without an
+    each is a partial minimum by node and a join with those minima, so a node with very many
+    edges is pre-aggregated before its shuffle; the minima are checkpointed, so that the join is
+    by broadcast where their count allows it and else one that Spark can split where it is skewed.  Nodes without an
     edge to another node have no row.  Nulls and self-loops are dropped; no edges give no
     rows.  Raises after `rounds` rounds rather than return components that are not final.
     """
@@ -104,12 +105,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # large star: every neighbour above the node points at the least neighbour
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = both.join(small(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: every neighbour below the node, and the node, point at the least one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        nxt = cut(small)
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        star = large.join(small(low), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        nxt = cut(star)
         same = nxt.select(F.count("*").alias("n"), F.bit_xor("b").alias("s"), F.bit_xor(F.xxhash64("a", "b")).alias("h"))
         then = e.distinct().select(F.count("*").alias("n"), F.bit_xor("b").alias("s"), F.bit_xor(F.xxhash64("a", "b")).alias("h"))
         now, before = same.unionAll(then).collect()  # two rows of counts

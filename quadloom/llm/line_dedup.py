@@ -87,7 +87,8 @@ def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, text_col: str = "t
     met = win.join(small(cut(seen)), "low", "left_semi")
     here = F.struct("doc", "key", "first")
     first = met.groupBy("content").agg(F.min(here).alias("home"), F.max(here).alias("end")).where("home < end").select("content", "home")
-    later = met.join(first, "content").where(here > F.col("home")).select("key", "first", "last").distinct()
+    # checkpointed, so that the join is by broadcast, or one that Spark can split at a hot window
+    later = met.join(small(cut(first)), "content").where(here > F.col("home")).select("key", "first", "last").distinct()
     return cut(later.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
 
 
