@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_of, vocabulary_path
+from .common import arrow_map, claim, text_of, vocabulary_path
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most entries that a worker remembers before it starts anew.
-MEMORY = 800_000
+MEMORY = 600_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -201,7 +201,9 @@ def codec(path: str) -> Codec:
     """The codec of a file, built once a worker."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
-    return _codecs[path]
+    c = _codecs[path]
+    claim("bpe", c.words, c.chunks, c.pairs)
+    return c
 
 
 def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:

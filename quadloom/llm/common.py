@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -140,6 +141,27 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+_stores: dict[str, list[dict]] = {}
+_owner: str | None = None
+
+
+def claim(owner: str, *stores: dict) -> None:
+    """Say that `owner` now fills these look-up stores in this worker; those of all other owners are emptied.
+
+    Workers serve one operator after another, and what each remembers would else add up.
+    """
+    global _owner
+    _stores[owner] = list(stores)
+    if _owner != owner:
+        for name, others in _stores.items():
+            if name != owner:
+                for d in others:
+                    d.clear()
+        _owner = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; bounded by `forget`."""
 
@@ -148,7 +170,8 @@ class WordHashes(dict):
         return h
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > 1_000_000:
+        claim("hashes", self)
+        if len(self) > 400_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

@@ -28,10 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, row_key, text_of, vocabulary_path
+from .common import arrow_map, claim, cut, row_key, text_of, vocabulary_path
 
 #: Entries a worker remembers before it starts anew.
-MEMORY = 500_000
+MEMORY = 300_000
 #: The vocabulary's pre-tokens, after its lower-casing.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -110,6 +110,7 @@ def pieces(df: DataFrame, size: int, end_id: int, path: str, text_col: str, id_c
 
     def run(batch):
         t = tokenizer(path)
+        claim("packing", t.known, t.words)
         at: list[int] = []
         cols: list[list[int]] = [[], [], [], []]
         for n, text in enumerate(batch.column(2).to_pylist()):

@@ -35,6 +35,8 @@ from .common import arrow_map, row_key, text_of
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE = 4000
+#: Mentions that one document teaches at most.
+PER_TEXT = 32
 ROUNDS = 12
 #: Least log-potential by which alike mentions draw each other to one label.
 AGREE = 4.0
@@ -144,7 +146,7 @@ N_FEATURES = 22
 
 
 def features(text: str, start: int, end: int) -> np.ndarray:
-    """Shape of a mention and the word before it."""
+    """Shape of a mention and the word before it, each feature 0 or 1."""
     s = text[start:end]
     d = "".join(DIGITS.findall(s))
     x = np.zeros(N_FEATURES)
@@ -242,25 +244,34 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str]) -> Field:
-    """Fit the field on the mentions of some texts, base spans being their silver labels."""
-    xs, ys = [], []
+def evidence(text: str) -> tuple[list[int], list[int], list[int]] | None:
+    """What a text teaches: its mentions' features (as bits), silver labels, and its edges' (kind, label, label) as numbers."""
+    found = mentions(text, base_spans(text))[:PER_TEXT]
+    if not found:
+        return None
     k = len(LABELS)
-    pairs = np.full((3, k, k), 0.5)
-    plain = Field()
-    for t in texts:
-        found = mentions(t, base_spans(t))
-        labels = [max(y, 0) for _, _, y in found]
-        for a, b, kind in plain.edges(t, found):
-            # a loose mention alike to an observed one is what the field is to find: it takes that label
-            if kind and 0 in (labels[a], labels[b]):
-                labels[a] = labels[b] = max(labels[a], labels[b])
-            pairs[kind, labels[a], labels[b]] += 1
-        xs += [features(t, s, e) for s, e, _ in found]
-        ys += labels
-    if not xs or len(set(ys)) < 2:
+    labels = [max(y, 0) for _, _, y in found]
+    edges = []
+    for a, b, kind in Field().edges(text, found):
+        # a loose mention alike to an observed one is what the field is to find: it takes that label
+        if kind and 0 in (labels[a], labels[b]):
+            labels[a] = labels[b] = max(labels[a], labels[b])
+        edges.append((kind * k + labels[a]) * k + labels[b])
+    bits = [int(sum(1 << n for n in np.flatnonzero(features(text, s, e)).tolist())) for s, e, _ in found]
+    return bits, labels, edges
+
+
+def fit(taught: list[tuple[list[int], list[int], list[int]]]) -> Field:
+    """Fit the field on the evidence of some texts."""
+    k = len(LABELS)
+    bits = np.array([b for x, _, _ in taught for b in x], np.int64)
+    ys = [y for _, y, _ in taught for y in y]
+    pairs = np.full(3 * k * k, 0.5)
+    np.add.at(pairs, np.array([e for _, _, x in taught for e in x], np.int64), 1)
+    pairs = pairs.reshape(3, k, k)
+    if len(set(ys)) < 2:
         return Field()
-    x, y = np.stack(xs), np.eye(k)[ys]
+    x, y = ((bits[:, None] >> np.arange(N_FEATURES)) & 1).astype(float), np.eye(k)[ys]
     w = np.zeros((x.shape[1], k))
     for _ in range(300):
         w -= 0.5 * (x.T @ (softmax(x @ w) - y) / len(x) + 1e-3 * w)
@@ -287,13 +298,16 @@ def spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tup
 
 
 def train(df: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> Field:
-    """Fit on at most `sample` documents that hold a digit or an at sign, drawn by hash."""
-    text = text_of(text_col)
-    drawn = df.select(text.alias("t"), row_key(id_col, text_col).alias("k")).where(F.col("t").rlike("[0-9]{7}|@|[0-9][.][0-9]"))
-    # only what surrounds each mention is fetched, so that long texts stay where they are
-    near = F.regexp_extract_all("t", F.lit(r"(?s)(.{0,60}(?:@|[0-9]{3}[ .()\-]*[0-9]).{0,120})"), F.lit(1))
-    rows = drawn.orderBy("k").limit(sample).select(F.slice(near, 1, 8).alias("t")).collect()
-    return fit([x for r in rows for x in r["t"]])
+    """Fit on at most `sample` documents with mentions, drawn by hash; only their evidence, a few numbers each, is fetched."""
+
+    def run(batch):
+        got = [(k, x) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (x := evidence(t))]
+        cols = [pa.array([x[n] for _, x in got], pa.list_(pa.int64())) for n in range(3)]
+        return {"k": pa.array([k for k, _ in got], pa.int64()), "bits": cols[0], "labels": cols[1], "edges": cols[2]}
+
+    told = arrow_map(df.select(row_key(id_col, text_col).alias("k"), text_of(text_col).alias("t")), run, "k long, bits array<long>, labels array<long>, edges array<long>")
+    rows = told.orderBy("k", "bits", "labels").limit(sample).collect()
+    return fit([(r["bits"], r["labels"], r["edges"]) for r in rows])
 
 
 def rendered(found: list[tuple[int, int, int]]) -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_of
+from .common import arrow_map, claim, text_of
 
 MAX_EXAMPLES = 2000
 PREFIXES = (4, 5, 6)
@@ -55,7 +55,7 @@ class Vocabulary(dict):
         self.terms = terms
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = tuple([self.terms[t] for t in forms(word) if t in self.terms])
         return got
@@ -232,6 +232,7 @@ def score(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMP
 
     def run(batch):
         index = shared.value
+        claim("toxicity", index.words)
         out = [index.score(t) for t in batch.column(1).to_pylist()]
         s = [x[0] for x in out]
         return {
@@ -255,6 +256,7 @@ def reject(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAM
 
     def run(batches):
         index = shared.value
+        claim("toxicity", index.words)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array([index.score(t or "")[0] < threshold for t in texts], pa.bool_()))
