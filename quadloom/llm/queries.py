@@ -57,8 +57,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_html, op4_near_vectors, op5_line_dedup, op6_topk, op7_pii, op8_bpe, op9_secrets, op10_ngram_join)}
 ORACLES: dict[str, str] = {
     "op6_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
               FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
         r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
@@ -68,4 +68,13 @@ ORACLES: dict[str, str] = {
               AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9),
         r(v, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.v, p.b FROM r JOIN p ON r.m = p.a)
         SELECT v AS vec_id, (SELECT count(*) FROM p WHERE a = v)::BIGINT AS n_links, min(m) AS component_id, v = min(m) AS kept FROM r GROUP BY v""",
+    "op10_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM w WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+        j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        p AS MATERIALIZED (SELECT a, b FROM j JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c / (x.k + y.k - c) >= 0.8),
+        r(v, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.v, p.b FROM r JOIN p ON r.m = p.a),
+        l AS (SELECT a, count(*) AS k FROM p GROUP BY 1)
+        SELECT v AS doc_id, min(m) AS class_id, coalesce(any_value(l.k), 0)::BIGINT AS n_links, v = min(m) AS kept FROM r LEFT JOIN l ON l.a = v GROUP BY v""",
 }
