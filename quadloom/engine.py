@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,34 @@ class Engine:
     def parse(self, text: str) -> Query:
         return parse_query(text, self.prefixes)
 
+    def collect(self, text: str, timeout_ms: int | None = None) -> tuple[list, bool]:
+        """(rows, timed out): the result's rows, or none if the time is up first; its Spark jobs are then cancelled."""
+        if timeout_ms is None:
+            return self.query(text).collect(), False
+        if timeout_ms <= 0:
+            return [], True
+        sc = self.data.spark.sparkContext
+        tag = f"quadloom-{uuid.uuid4()}"
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            sc.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(timeout_ms / 1000, stop)
+        sc.addJobTag(tag)
+        timer.start()
+        try:
+            rows = self.query(text).collect()
+            return ([], True) if late.is_set() else (rows, False)
+        except Exception:
+            if late.is_set():
+                return [], True
+            raise
+        finally:
+            timer.cancel()
+            sc.removeJobTag(tag)
+
     def ask(self, text: str) -> bool:
         return self.query(text).first()[0]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def effective(x: Value) -> Column:
 
 
 def _not_nan(x: Value) -> Column | None:
-    return ~F.isnan(x.col) if x.numeric and x.type.detail in (FLOAT, DOUBLE) and x.nullable is not False else None
+    return ~F.isnan(x.col) if x.numeric and x.type.detail in (FLOAT, DOUBLE) and not x.fixed else None
 
 
 def compare(sign: str, a: Value, b: Value) -> Column:
@@ -187,7 +188,7 @@ class Expressions:
         if kind == "var":
             return self.scope.get(e[1]) or null()
         if kind == "term":
-            return constant(e[1])
+            return replace(constant(e[1]), fixed=not (isinstance(e[1], Literal) and e[1].value == "NaN"))
         if kind == "op":
             return self.op(e[1], e[2])
         if kind == "call":

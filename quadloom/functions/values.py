@@ -44,6 +44,7 @@ class Value:
     col: Column
     type: Type
     nullable: bool = True
+    fixed: bool = False  # a constant of the query, and no NaN
 
     @property
     def numeric(self) -> bool:

@@ -78,6 +78,16 @@ class Compiler:
             return Frame(self.data.spark.range(1).select())
         if kind == "bgp":
             return self.bgp(p[1], graph)
+        if kind == "join" and p[1][0] == "unit":
+            return self.pattern(p[2], graph)
+        if kind == "join" and p[2][0] == "bgp" and (computed := self.computed(p[2][1], graph)):
+            # properties that are computed from a geometry bound on the left
+            f = self.pattern(p[1], graph)
+            if rest := [t for t in p[2][1] if t not in computed]:
+                f = self.join(f, self.bgp(rest, graph))
+            for s, q, o in computed:
+                f = self.with_geometry(f, s, q, o, graph)
+            return f
         if kind == "join":
             return self.join(self.pattern(p[1], graph), self.pattern(p[2], graph))
         if kind == "optional":
@@ -234,8 +244,9 @@ class Compiler:
                 h = self.homes(p.value, o, graph)
                 if h and None not in h:
                     near.setdefault(s, [m.subject.type for m in h])
+        computed = self.computed(triples, graph)
         for s, p, o in triples:
-            if isinstance(p, Iri) and p.value.startswith(GEO) and p.value[len(GEO) :] in ("asWKT", "asGeoJSON", "hasGeometry") and not self.homes(p.value, o, graph):
+            if (s, p, o) in computed:
                 continue
             if isinstance(p, tuple):
                 parts.append(self.path(s, p, o, graph, near.get(s)))
@@ -246,11 +257,25 @@ class Compiler:
         for s, star in stars.items():
             parts += self.star(s, star, graph)
         whole = self.connect(parts)
-        for s, p, o in triples:  # computed geometry properties of subjects that are bound to geometry literals
-            if isinstance(p, Iri) and p.value.startswith(GEO) and isinstance(s, Var) and not self.homes(p.value, o, graph):
-                whole = self.geometry_property(whole, s, p.value[len(GEO) :], o)
+        for s, p, o in computed:
+            whole = self.with_geometry(whole, s, p, o, graph)
         return whole
 
+    def computed(self, triples: list, graph) -> list:
+        """Patterns of a geometry property, with a variable as subject."""
+        names = [GEO + n for n in ("asWKT", "asGeoJSON", "hasGeometry")]
+        return [(s, p, o) for s, p, o in triples if isinstance(p, Iri) and p.value in names and isinstance(s, Var)]
+
+    def with_geometry(self, f: Frame, s: Var, p: Iri, o, graph) -> Frame:
+        """Solutions whose subject is a geometry get the computed property, beside those of stored triples."""
+        parts = []
+        if s.name in f.scope:
+            parts.append(self.geometry_property(f, s, p.value[len(GEO) :], o))
+        if self.homes(p.value, o, graph):
+            for stored in self.star(s, [(p.value, o)], graph):
+                parts.append(self.join(f, stored))
+        return self.union(parts) if parts else self.nothing(set(f.scope) | {t.name for t in (s, o) if isinstance(t, Var)})
+
     def geometry_property(self, f: Frame, s: Var, name: str, o) -> Frame:
         if name not in ("asWKT", "asGeoJSON", "hasGeometry"):
             return self.nothing({s.name} | ({o.name} if isinstance(o, Var) else set()))

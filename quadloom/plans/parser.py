@@ -443,7 +443,8 @@ class Parser:
                 side = self.group()
                 while self.accept("UNION"):
                     side = ("union", side, self.group())
-                whole = join(whole, side)
+                # a nested group's filter sees that group alone, so it must not become its parent's
+                whole = ("join", whole, side) if side[0] == "filter" else join(whole, side)
             else:
                 self.triples_same_subject(triples)
                 if self.is_punct("}") or self.word() in ("FILTER", "OPTIONAL", "MINUS", "BIND", "VALUES", "GRAPH") or self.is_punct("{"):

@@ -112,3 +112,15 @@ def test_unbound_combinations(spark, tmp_path):
     assert got(f"SELECT ?x {{ {left} MINUS {{ {right} }} }}") == ["(2,)"]
     assert got("SELECT ?x { VALUES ?x { 1 2 2 } } ORDER BY ?x") == ["(1,)", "(2,)", "(2,)"]
     assert len(got("SELECT DISTINCT ?x { VALUES ?x { 1 2 2 } }")) == 2
+
+
+def test_scopes_nan_and_timeouts(spark, tmp_path):
+    e = Engine(Store(spark, load_rdf(spark, write(tmp_path, "e.ttl", '@prefix : <urn:> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . :a :p 1 ; :q 5 . :b :p 2 . :n :v "NaN"^^xsd:double , 2.0e0 .'))).dataset(), {"": "urn:"})
+    # a filter of a nested group doesn't see the outer variables, one of the group itself does
+    assert e.query("SELECT * { ?s :p ?x OPTIONAL { ?s :q ?y FILTER(?x = 1) } }").where("y is not null").count() == 1
+    assert e.query("SELECT * { ?s :p ?x OPTIONAL { { ?s :q ?y FILTER(?x = 1) } } }").where("y is not null").count() == 0
+    assert e.query("SELECT * { ?s :v ?x FILTER(?x > 1) }").count() == 1
+    assert e.query('SELECT (xsd:double(?t) AS ?d) { VALUES ?t { "NaN" "3" } FILTER(xsd:double(?t) > 1 || xsd:double(?t) = xsd:double(?t)) }').count() == 1
+    assert e.collect("SELECT * { ?s ?p ?o }", 0) == ([], True)
+    rows, late = e.collect("SELECT * { ?s :p ?o }", 60_000)
+    assert len(rows) == 2 and not late
