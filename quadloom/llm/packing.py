@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, claim, cut, row_key, text_of, vocabulary_path
 
-#: Entries a worker remembers before it starts anew.
-MEMORY = 300_000
+#: Entries of each look-up store; a full one becomes the old one, from which what is met again moves on.
+MEMORY = 200_000
 #: The vocabulary's pre-tokens, after its lower-casing.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -49,8 +49,11 @@ class WordTokenizer:
         self.full.no_truncation()
         self.full.no_padding()
         self.special = tuple(t.content for t in self.full.get_added_tokens_decoder().values())
+        # ids of blank-separated words, and of pre-tokens: those met lately and those met before
         self.known: dict[str, bytes] = {}
+        self.known_old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.words_old: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN)
         # a word's last token, and no other, ends in the suffix
         suffix = self.full.model.end_of_word_suffix
@@ -65,30 +68,51 @@ class WordTokenizer:
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known = self.known
         words = text.lower().split()
-        try:
+        missing = set(words).difference(known)
+        if not missing:
             return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > MEMORY:
-            known.clear()
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        new = {w: self.split.findall(w) for w in words if w not in known}
-        self._learn(list({p for parts in new.values() for p in parts if p not in self.words}))
-        for w, parts in new.items():
-            known[w] = b"".join([self.words[p] for p in parts])
+        turn(known, self.known_old)
+        turn(self.words, self.words_old)
+        old, new = self.known_old, []
+        for w in missing if known else set(words):
+            if w in old:
+                known[w] = old[w]
+            else:
+                new.append(w)
+        split = {w: self.split.findall(w) for w in new}
+        ids = self.words
+        self._learn({p for parts in split.values() for p in parts if p not in ids})
+        for w, parts in split.items():
+            known[w] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
         return b"".join([known[w] for w in words])
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: set[str]) -> None:
         """Ids of pre-tokens, all in one call: blanks part them, and word ends tell whose an id is."""
-        if not parts:
+        words, old, new = self.words, self.words_old, []
+        for p in parts:
+            if p in old:
+                words[p] = old[p]
+            else:
+                new.append(p)
+        if not new:
             return
-        ids = np.array(self.full.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(parts):
+        ids = np.array(self.full.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(new):
             raise ValueError("the vocabulary marks no word ends")
-        for p, x in zip(parts, np.split(ids, cuts[:-1])):
-            self.words[p] = x.tobytes()
+        data = ids.tobytes()
+        at = 0
+        for p, end in zip(new, ends):
+            words[p] = data[at:end]
+            at = end
+
+
+def turn(store: dict, old: dict) -> None:
+    """Make a full store the old one."""
+    if len(store) > MEMORY:
+        old.clear()
+        old.update(store)
+        store.clear()
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -110,7 +134,7 @@ def pieces(df: DataFrame, size: int, end_id: int, path: str, text_col: str, id_c
 
     def run(batch):
         t = tokenizer(path)
-        claim("packing", t.known, t.words)
+        claim("packing", t.known, t.words, t.known_old, t.words_old)
         at: list[int] = []
         cols: list[list[int]] = [[], [], [], []]
         for n, text in enumerate(batch.column(2).to_pylist()):
