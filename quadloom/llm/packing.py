@@ -220,7 +220,7 @@ def _group_packer(size: int, last: bool):
     return pack
 
 
-def pack(df: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group: int = 8192, rounds: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack(df: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group: int = 2048, rounds: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Pack all documents of `df`; rows (id_col, piece, start, length, ids_crc32, sequence_id, offset).
 
     group: pieces that one task packs at once on average.  The number of groups follows the number of pieces,
