@@ -190,13 +190,13 @@ def main_text(found: list[tuple[str, str, bool, bool]], low: set[int]) -> str:
                 gone[path] = any(path_hash(a) in low for a in ancestors(path)) if low else False
             if not gone[path]:
                 out.append(text)
-    return " ".join(out)
+    # pages of a host that are copies throughout have no node of importance: then nothing tells boilerplate from text
+    return " ".join(out or [t for _, t, bad, _ in found if not bad])
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_seen: int = MIN_SEEN, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """`pages` without its html, with `text` and `n_chars` (code points) added."""
     tree = style_tree(pages, html_col, url_col)
-    # html and body are never boilerplate as a whole: they stand on few distinct paths of every page
     low = tree.where((F.col("seen") >= min_seen) & (F.col("importance") < min_importance))
     low = cut(low.groupBy("host").agg(F.collect_list("node").alias("__low")).withColumnRenamed("host", "__host"))
     host = F.lower(F.regexp_replace(F.regexp_extract(text_of(url_col), r"^[^/?#]*//([^/?#]*)", 1), "^.*@", ""))

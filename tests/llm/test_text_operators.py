@@ -244,12 +244,14 @@ def test_html(spark):
     want = "Head <one> First &amp; café x line Second it a b"
     rows = [(1, "http://h/a", PAGE.replace("{body}", article)), (2, "http://h/a", PAGE.replace("{body}", article)), (3, None, None), (4, "http://h/b", ""), (5, "u", "<p>cut <b"), (6, "http://k/1", "plain &#x41;&#66; text"), (7, "http://h/c", PAGE.replace("{body}", "<main><p>" + "long " * 50000 + "</p></main>"))]
     rows += [(10 + n, f"http://tree/{n}", f"<html><body><div class='top'><p>Same bar</p></div><div class='body'><p>Unique text number {n}</p></div></body></html>") for n in range(8)]
+    rows += [(30 + n, "http://copies/1", "<html><body><p>All the same</p></body></html>") for n in range(6)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, node int")
     got = {r["page_id"]: r for r in html_text.extract(df).collect()}
     assert got[1]["text"] == got[2]["text"] == want and got[1]["n_chars"] == len(want) and got[1]["url"] == "http://h/a"
     assert got[3]["text"] == got[4]["text"] == "" and got[5]["text"] == "cut" and got[6]["text"] == "plain AB text"
     assert got[7]["n_chars"] == 5 * 50000 - 1
     assert all(got[10 + n]["text"] == f"Unique text number {n}" for n in range(8))
+    assert all(got[30 + n]["text"] == "All the same" for n in range(6))
     assert html_text.extract(df.limit(0)).count() == 0
 
 
