@@ -1,111 +1,220 @@
-"""Line dedup by winnowing over line hashes.
-
-A run is one or more lines in a row (blank ones between them aside) with at least MIN_WORDS
-words.  Every minimal window of such lines, grown forwards from each line and backwards from
-each line, picks its least line hash as fingerprint; as windows depend on nothing around them,
-two copies of a run pick the same fingerprints.  Fingerprints at two places or more are joined
-by position, and matches are extended both ways from them: a window matches if its whole
-content has been seen at an earlier place, and the windows on both sides of a fingerprint reach
-each end of the run.  So a line goes iff it lies in a run of at least MIN_WORDS words that also
-stands at an earlier place, in order of (doc_id, row key, line); the first place stays whole.
-
-A line that very many documents share is one partial aggregate a task and one row of a join;
+"""Line dedup by winnowing over word hashes.
+
+A passage of at least MIN_WORDS words goes where it also stands at an earlier place, in order of
+(doc_id, row key, word); the first place stays whole.  Passages are runs of words, wherever lines
+begin and end, so one whose ends are joined to other text is found as well.
+
+Each window of MIN_WORDS words picks the least hash of the runs of `gram()` words in it, ties the
+rightmost, as fingerprint; as a window depends on nothing around it, two copies of one pick the
+same.  Windows in a row with one fingerprint are a stretch, one row with the hash of all its words.
+Only stretches whose fingerprint stands at two places or more go on.  One that stands whole at an
+earlier place goes whole; where a fingerprint has stretches of different words, the first of each
+are laid out window by window and compared.  The windows that go overlap, so matches reach
+both ways, word by word and across line ends, as far as the texts agree.
+
+What goes: lines all of whose words go, the blank lines between words of one match, and of other lines the
+words that go; parts of a line of fewer than MIN_PIECE words stay, since so few agree by chance
+next to a match.  White space within and between lines doesn't count.
+
+A passage that very many documents share is one partial aggregate a task and one row of a join;
 no list of its places is ever gathered.
 
 Defined results: null text is empty, kept as null in the text column; rows that repeat both
 doc_id and text are one document and get the same result; a null doc_id is before all others;
-blank lines at the ends of what goes stay; extra columns are kept by `apply`.
+blank lines at the ends of what goes stay; extra columns are kept by `apply`; `lines_removed` counts the lines gone as a whole.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, row_key, small, text_of
+from .common import arrow_map, bits, cut, row_key, small, text_of, word_hashes
 
 MIN_WORDS = 50
+#: Words of a part of a line that goes, at least.
+MIN_PIECE = 3
+
+WORD = re.compile(r"\S+")
+BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, n at least, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            full = np.full(2 * n, base, np.uint64)
+            full[0] = 1
+            _powers[k] = np.cumprod(full, dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
+class Sums:
+    """Hashes of any runs of words, from sums."""
+
+    def __init__(self, words: list[str]):
+        h = word_hashes.of(words)
+        up, self.down = powers(len(h))
+        self.total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * up[: len(h)], out=self.total[1:])
+
+    def of(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of the words from `first` up to before `stop`."""
+        return bits((self.total[stop] - self.total[first]) * self.down[first] + (stop - first).astype(np.uint64))
+
+
+def gram(min_words: int) -> int:
+    """Words of a fingerprint."""
+    return max(1, min_words // 4)
+
+
+def least_places(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least value in each window of `width` values, ties the rightmost."""
+    place, size = np.arange(len(x)), 1
+    while size < width:
+        step = min(size, width - size)
+        a, b = place[: len(place) - step], place[step:]
+        place = np.where(x[b] <= x[a], b, a)
+        size += step
+    return place
+
+
+def stretches(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window, fingerprint, and hash of all words, of each stretch of a text."""
+    words = text.split()
+    many = len(words) - min_words + 1
+    if many < 1:
+        return (np.zeros(0, np.int64),) * 4
+    sums, k = Sums(words), gram(min_words)
+    at = np.arange(len(words) - k + 1)
+    grams = sums.of(at, at + k)
+    place = least_places(grams, min_words - k + 1)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    last = np.concatenate([first[1:], [many]]) - 1
+    return first, last, grams[place[first]].view(np.int64), sums.of(first, last + min_words).view(np.int64)
+
+
+def _all_stretches(df: DataFrame, min_words: int, text_col: str, id_col: str) -> DataFrame:
+    def run(batch):
+        found = [stretches(t, min_words) for t in batch.column(2).to_pylist()]
+        take = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+        first, last, low, content = (np.concatenate([x[n] for x in found]) for n in range(4))
+        out = {"doc": batch.column(0).take(take), "key": batch.column(1).take(take)}
+        return out | {"first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32)), "low": pa.array(low), "content": pa.array(content)}
 
+    kind = df.schema[id_col].dataType.simpleString()
+    return arrow_map(_keyed(df, text_col, id_col), run, f"doc {kind}, key long, first int, last int, low long, content long")
 
-def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Line numbers, hashes (signed 64-bit) and word counts of the lines that aren't blank."""
-    at, hashes, words = [], [], []
-    for n, line in enumerate(text.split("\n")):
-        parts = line.split()
-        if parts:
-            at.append(n)
-            hashes.append(xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass")) - (1 << 63))
-            words.append(len(parts))
-    return at, hashes, words
-
-
-def windows(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int, int, int]]:
-    """Minimal windows (first, last, fingerprint's place, its hash, hash of the content)."""
-    n, spans = len(hashes), set()
-    total = np.concatenate([[0], np.cumsum(words)])
-    if not n or total[-1] < min_words:
-        return []
-    forward = np.searchsorted(total, total[:-1] + min_words)  # one beyond the last line
-    spans.update((i, int(j) - 1) for i, j in enumerate(forward) if j <= n)
-    backward = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    spans.update((int(i), j) for j, i in enumerate(backward) if i >= 0)
-    raw = np.array(hashes, "<i8").tobytes()
-    out = []
-    for i, j in sorted(spans):
-        low = min(hashes[i : j + 1])
-        place = j - hashes[i : j + 1][::-1].index(low)  # ties: the rightmost
-        out.append((i, j, place, low, xxhash.xxh64_intdigest(raw[8 * i : 8 * j + 8]) - (1 << 63)))
-    return out
+
+def _keyed(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("doc"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+
+
+def _pack(first, last):
+    return F.shiftleft(first.cast("long"), 32) + last.cast("long")
 
 
-def _all_windows(df: DataFrame, min_words: int, text_col: str, id_col: str) -> DataFrame:
+def _unpack(packed) -> tuple[np.ndarray, np.ndarray]:
+    x = np.array(packed, np.int64)
+    return x >> 32, x & 0xFFFFFFFF
+
+
+def _held(lists: DataFrame, column: str) -> DataFrame:
+    """Rows (key, array) marked for broadcast if their arrays are short in all, else as they are."""
+    n = lists.agg(F.sum(F.size(column))).first()[0] or 0
+    return F.broadcast(lists) if n <= 1_000_000 else lists
+
+
+def _laid_out(df: DataFrame, places: DataFrame, min_words: int, text_col: str, id_col: str) -> DataFrame:
+    """Rows (doc, key, first, window) of all windows in the stretches at `places` (key, spots)."""
+
     def run(batch):
-        rows: list[int] = []
-        cols: list[list[int]] = [[] for _ in range(5)]
-        for n, text in enumerate(batch.column(2).to_pylist()):
-            at, hashes, words = line_hashes(text)
-            for i, j, place, low, content in windows(hashes, words, min_words):
-                rows.append(n)
-                for c, v in zip(cols, (at[i], at[j], at[place], low, content)):
-                    c.append(v)
-        take = pa.array(rows, pa.int64())
-        out = {"doc": batch.column(0).take(take), "key": batch.column(1).take(take)}
-        return out | {n: pa.array(c, k) for n, c, k in zip(("first", "last", "place", "low", "content"), cols, (pa.int32(),) * 3 + (pa.int64(),) * 2)}
+        rows, firsts, hashes = [], [], []
+        for n, (text, spots) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            at = np.concatenate([np.arange(a, b + 1) for a, b in zip(*_unpack(spots))])
+            firsts.append(at)
+            hashes.append(Sums(text.split()).of(at, at + min_words).view(np.int64))
+            rows.append(np.full(len(at), n))
+        take = pa.array(np.concatenate(rows))
+        return {"doc": batch.column(0).take(take), "key": batch.column(1).take(take), "first": pa.array(np.concatenate(firsts).astype(np.int32)), "window": pa.array(np.concatenate(hashes))}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(F.col(id_col).alias("doc"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text")), run, f"doc {kind}, key long, first int, last int, place int, low long, content long")
+    joined = _keyed(df, text_col, id_col).join(_held(places, "spots"), "key").select("doc", "key", "text", "spots")
+    return arrow_map(joined, run, f"doc {kind}, key long, first int, window long")
 
 
-def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows (key, spans array<struct<first, last>>): line spans that go, by row key."""
-    win = cut(_all_windows(df, min_words, text_col, id_col))
-    spot = F.struct("key", "place")
-    seen = win.groupBy("low").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("low")
-    met = win.join(small(cut(seen)), "low", "left_semi")
-    here = F.struct("doc", "key", "first")
-    first = met.groupBy("content").agg(F.min(here).alias("home"), F.max(here).alias("end")).where("home < end").select("content", "home")
-    # checkpointed, so that the join is by broadcast, or one that Spark can split at a hot window
-    later = met.join(small(cut(first)), "content").where(here > F.col("home")).select("key", "first", "last").distinct()
-    return cut(later.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+def _merged(batch):
+    """Spans that overlap made one."""
+    out = []
+    for packed in batch.column(1).to_pylist():
+        mine: list[list[int]] = []
+        for a, b in zip(*(x.tolist() for x in _unpack(sorted(packed)))):
+            if mine and a < mine[-1][1]:
+                mine[-1][1] = max(mine[-1][1], b)
+            else:
+                mine.append([a, b])
+        out.append([(a << 32) + b for a, b in mine])
+    return {"key": batch.column(0), "spans": pa.array(out, pa.list_(pa.int64()))}
 
 
-def _without(text: str, spans) -> tuple[str, int]:
-    lines = text.split("\n")
-    gone = set()
-    for s in spans:
-        gone.update(range(s["first"], s["last"] + 1))
-    return "\n".join([x for n, x in enumerate(lines) if n not in gone]), len(gone)
+def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Rows (key, spans array<long>): by row key, the words that go, first << 32 | one beyond the last."""
+    all_ = cut(_all_stretches(df, min_words, text_col, id_col))
+    spot = F.struct("key", "first")
+    seen = all_.groupBy("low").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("low")
+    met = cut(all_.join(small(cut(seen)), "low", "left_semi"))
+    here = F.struct("doc", "key", "first", "last")
+    each = cut(met.groupBy("low", "content").agg(F.min(here).alias("home"), F.max(here).alias("end")))
+    # checkpointed, so that the joins are by broadcast, or ones that Spark can split at a hot passage
+    first = cut(each.where("home < end").select("low", "content", "home"))
+    whole = met.join(small(first), ["low", "content"]).where(here > F.col("home")).select("key", "first", (F.col("last") + min_words).alias("stop"))
+    mixed = cut(each.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low"))
+    places = each.join(small(mixed), "low", "left_semi").select("home.key", _pack(F.col("home.first"), F.col("home.last")).alias("spot"))
+    places = cut(places.groupBy("key").agg(F.collect_list("spot").alias("spots")))
+    wins = cut(_laid_out(df, places, min_words, text_col, id_col))
+    here = F.struct("doc", "key", "first")
+    first = cut(wins.groupBy("window").agg(F.min(here).alias("home"), F.max(here).alias("end")).where("home < end").select("window", "home"))
+    part = wins.join(small(first), "window").where(here > F.col("home")).select("key", "first", (F.col("first") + min_words).alias("stop"))
+    spans = whole.unionByName(part).select("key", _pack(F.col("first"), F.col("stop")).alias("span")).distinct()
+    return cut(arrow_map(spans.groupBy("key").agg(F.collect_list("span").alias("spans")), _merged, "key long, spans array<long>"))
+
+
+def _without(text: str, spans: list[int]) -> tuple[str, int]:
+    """The text without the words of `spans`, and how many lines went as a whole."""
+    match = np.zeros(len(text.split()) + 1, np.int64)  # the match that a word is in, from 1
+    for n, (a, b) in enumerate(zip(*_unpack(spans)), 1):
+        match[a:b] = n
+    out, gone, at = [], 0, 0
+    for line in text.split("\n"):
+        words = [m.span() for m in WORD.finditer(line)]
+        mine = match[at : at + len(words)] > 0
+        if not words:
+            inside = at > 0 and match[at] > 0 and match[at - 1] == match[at]
+            gone += bool(inside)
+            if not inside:
+                out.append(line)
+        elif mine.all():
+            gone += 1
+        else:
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
+            for a, b in reversed(edges.reshape(-1, 2).tolist()):
+                if b - a >= MIN_PIECE:
+                    line = line[: words[a][0]] + line[words[b][0] :] if b < len(words) else line[: words[a - 1][1]] + line[words[b - 1][1] :]
+            out.append(line)
+        at += len(words)
+    return "\n".join(out), gone
 
 
 def apply(df: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """`df` with the lines gone from its text, and the column `lines_removed` (long) added."""
+    """`df` with what goes taken from its text, and the column `lines_removed` (long) added."""
     spans = repeated_spans(df, min_words, text_col, id_col)
-    n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    spans = spans.withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans")
-    joined = df.withColumn("__key", row_key(id_col, text_col)).join(F.broadcast(spans) if n <= 1_000_000 else spans, "__key", "left")
+    spans = _held(spans.withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans"), "__spans")
+    joined = df.withColumn("__key", row_key(id_col, text_col)).join(spans, "__key", "left")
     names = df.columns
     at = names.index(text_col)
 
