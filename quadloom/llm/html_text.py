@@ -7,8 +7,12 @@ texts seen there, both to the base of how often the node was seen; their mean is
 importance.  Nodes seen often whose importance is low (the same menu, notice or advert page
 after page) are removed from every page of that host.  What markup names is removed by name:
 navigation, headers and footers of the page, asides, forms, scripts, styles, adverts, notices and
-comments.  Where a page marks its article, what lies in it is content whatever its
-importance, since copies of an article on one host are articles still, and all else is not.
+comments.  Where a page marks its article, all else is not content; nodes of low importance go
+inside the article as well.
+
+Copies of an article on one host are articles still, so what is counted at a node is distinct
+pages: pages whose two longest blocks of content outside the node agree (by the least hash of their runs
+of five words, so that near copies mostly agree too) and whose node agrees count once.
 
 Trees are sums by (host, path), so a host with very many pages costs partial sums; no host's
 pages are gathered.
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, small, text_of
+from .common import arrow_map, cut, shingles, small, text_of
 
 #: A node is judged when seen this often, and removed below this importance.
 MIN_SEEN = 4
@@ -144,16 +148,41 @@ def ancestors(path: str) -> list[str]:
     return [path[:n] for n in cuts]
 
 
+def content(found: list[tuple[str, str, bool, bool]]) -> list[tuple[str, str]]:
+    """(path, text) of the blocks that markup lets stay: those in the article, if it has any."""
+    marked = any(inside and not bad for _, _, bad, inside in found)
+    return [(path, text) for path, text, bad, inside in found if not bad and (inside or not marked)]
+
+
+def outside(kept: list[tuple[str, str]], nodes) -> dict[str, int]:
+    """For each node, a hash of the two longest blocks of content outside it."""
+    longest = sorted(kept, key=lambda b: -len(b[1]))
+    least: dict[str, int] = {}
+    out = {}
+    for node in nodes:
+        two = []
+        for path, text in longest:
+            if path != node and not path.startswith(node + "/"):
+                if text not in least:
+                    least[text] = int(shingles(text, 5)[0])
+                two.append(least[text])
+                if len(two) == 2:
+                    break
+        out[node] = path_hash(repr(sorted(two)))
+    return out
+
+
 def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Rows (host, node, seen, presentation, content, importance) of all hosts."""
 
     def run(batch):
-        hosts, nodes, kinds, values = [], [], [], []
+        hosts, nodes, kinds, values, others = [], [], [], [], []
         for page, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             host = host_of(url)
             children: dict[str, list[str]] = {}
             contents: dict[str, list[str]] = {}
-            for path, text, _, _ in blocks(page):
+            found = blocks(page)
+            for path, text, _, _ in found:
                 up = ancestors(path)
                 for a, b in zip(up, up[1:]):
                     seq = children.setdefault(a, [])
@@ -161,16 +190,18 @@ def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
                         seq.append(b)
                 for a in up:
                     contents.setdefault(a, []).append(text)
-            for kind, found in ((0, children), (1, contents)):
-                for path, seq in found.items():
+            rest = outside(content(found), contents)
+            for kind, told in ((0, children), (1, contents)):
+                for path, seq in told.items():
                     hosts.append(host)
                     nodes.append(path_hash(path))
                     kinds.append(kind)
                     values.append(path_hash("\0".join(seq)))
-        return {"host": pa.array(hosts, pa.string()), "node": pa.array(nodes, pa.int64()), "kind": pa.array(kinds, pa.int32()), "value": pa.array(values, pa.int64())}
+                    others.append(rest[path])
+        return {"host": pa.array(hosts, pa.string()), "node": pa.array(nodes, pa.int64()), "kind": pa.array(kinds, pa.int32()), "value": pa.array(values, pa.int64()), "rest": pa.array(others, pa.int64())}
 
-    each = arrow_map(pages.select(text_of(html_col).alias("html"), text_of(url_col).alias("url")), run, "host string, node long, kind int, value long")
-    times = each.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
+    each = arrow_map(pages.select(text_of(html_col).alias("html"), text_of(url_col).alias("url")), run, "host string, node long, kind int, value long, rest long")
+    times = each.distinct().groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
     # entropy from sums alone: log m - (sum of n log n) / m, to the base m
     sums = times.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.when(F.col("m") <= 1, F.lit(1.0)).otherwise((F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m"))
@@ -180,18 +211,13 @@ def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
 
 def main_text(found: list[tuple[str, str, bool, bool]], low: set[int]) -> str:
     """Text of the blocks that stay."""
-    if any(inside for _, _, _, inside in found):
-        return " ".join([t for _, t, bad, inside in found if inside and not bad])
+    kept = content(found)
     gone: dict[str, bool] = {}
-    out = []
-    for path, text, bad, _ in found:
-        if not bad:
-            if path not in gone:
-                gone[path] = any(path_hash(a) in low for a in ancestors(path)) if low else False
-            if not gone[path]:
-                out.append(text)
-    # pages of a host that are copies throughout have no node of importance: then nothing tells boilerplate from text
-    return " ".join(out or [t for _, t, bad, _ in found if not bad])
+    for path, _ in kept:
+        if path not in gone:
+            gone[path] = any(path_hash(a) in low for a in ancestors(path)) if low else False
+    # where no node is of importance nothing tells boilerplate from text
+    return " ".join([t for path, t in kept if not gone[path]] or [t for _, t in kept])
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_seen: int = MIN_SEEN, min_importance: float = MIN_IMPORTANCE) -> DataFrame:

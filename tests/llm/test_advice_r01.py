@@ -2,7 +2,7 @@
 
 import random
 
-from quadloom.llm import line_dedup
+from quadloom.llm import html_text, line_dedup
 
 from .test_text_operators import documents, words
 
@@ -43,3 +43,18 @@ def test_line_dedup_across_line_ends(spark):
         keys = {r["doc_id"]: r["key"] for r in documents(spark, rows).select("doc_id", line_dedup.row_key("doc_id", "text").alias("key")).collect()}
         found = {i: {w for s in spans.get(keys[i], []) for w in range(s >> 32, s & 0xFFFFFFFF)} for i, _ in rows}
         assert found == brute_words(rows, least)
+
+
+def test_html_tree_inside_articles(spark):
+    rng = random.Random(2)
+    page = "<html><body><div>{bar}</div><article><h1>{head}</h1><p>{a}</p><p>{b}</p><div class='x7'><p>Licensed to all by the press office of this town, who keep every right there is</p></div></article></body></html>"
+    rows = [(n, f"http://h/{n}", page.format(bar="bar", head=f"Head {n}", a=words(rng, 30), b=words(rng, 5))) for n in range(8)]
+    # one article on many pages, each with its own other text: a copy is no boilerplate
+    copy = "<html><body><div class='y'><p>{own}</p></div><article><h1>One head</h1><p>The very same text in all of them</p><p>And its end</p></article></body></html>"
+    rows += [(20 + n, f"http://copies/{n}", copy.format(own=words(rng, 4))) for n in range(8)]
+    # an article that markup takes away leaves the rest of its page
+    rows += [(40, "http://one/1", "<html><body><div><p>Body text</p></div><aside><article><p>Teaser</p></article></aside></body></html>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Licensed" not in got[n] and got[n].startswith(f"Head {n} w") for n in range(8))
+    assert all(got[20 + n] == "One head The very same text in all of them And its end" for n in range(8))
+    assert got[40] == "Body text"
