@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -37,6 +38,8 @@ from .common import arrow_map, cut, shingles, small, text_of
 #: A node is judged when seen this often, and removed below this importance.
 MIN_SEEN = 4
 MIN_IMPORTANCE = 0.2
+#: Elements open at this depth or beyond are of the path of the one around them; all else about them holds.
+PATH_DEPTH = 400
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -67,11 +70,17 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     Texts have their references decoded and white space made single blanks.
     """
     out: list[tuple[str, str, bool, bool]] = []
-    # an open element: tag, path, not content, in an article
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # an open element: tag, path, not content, in an article, place of the nearest block element at or above it
+    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
+    opened: Counter[str] = Counter()  # so that an end tag without a start tag needs no search
     parts: list[str] = []
     owner = stack[0]
 
+    def close(n):
+        for element in stack[n:]:
+            opened[element[0]] -= 1
+        del stack[n:]
+
     def flush():
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
@@ -99,11 +108,11 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if tag not in INLINE:
             flush()
         if m[1]:
-            for n in range(len(stack) - 1, 0, -1):
+            for n in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[n][0] == tag:
                     if stack[n][2] != stack[n - 1][2] or stack[n][3] != stack[n - 1][3]:
                         flush()
-                    del stack[n:]
+                    close(n)
                     break
             continue
         if tag in VOID:
@@ -111,14 +120,12 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                 parts.append(" ") if parts else None
             continue
         while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
+            close(len(stack) - 1)
         if tag not in INLINE and len(stack) > 1 and stack[-1][0] in INLINE:
             # a block inside an unclosed inline element: an open p around it ends as well
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n][0] not in INLINE:
-                    if tag in CLOSED_BY.get(stack[n][0], ()):
-                        del stack[n:]
-                    break
+            n = stack[-1][4]
+            if n and tag in CLOSED_BY.get(stack[n][0], ()):
+                close(n)
         up = stack[-1]
         names = ""
         rest = m[3]
@@ -132,8 +139,9 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             continue
         if rest.endswith("/") and tag in ("svg", "path"):
             continue
-        if len(stack) < 400:
-            stack.append((tag, f"{up[1]}/{tag}" + (f".{names}" if names else ""), bad, inside))
+        path = f"{up[1]}/{tag}" + (f".{names}" if names else "") if len(stack) < PATH_DEPTH else up[1]
+        stack.append((tag, path, bad, inside, up[4] if tag in INLINE else len(stack)))
+        opened[tag] += 1
     flush()
     return out
 

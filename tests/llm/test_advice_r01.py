@@ -58,3 +58,12 @@ def test_html_tree_inside_articles(spark):
     assert all("Licensed" not in got[n] and got[n].startswith(f"Head {n} w") for n in range(8))
     assert all(got[20 + n] == "One head The very same text in all of them And its end" for n in range(8))
     assert got[40] == "Body text"
+
+
+def test_html_deep():
+    for tag in ("div", "font", "section"):
+        page = "<article>" + f"<{tag}>" * 600 + "in" + f"</{tag}>" * 600 + "<p>after</p></article><p>out</p>"
+        assert html_text.main_text(html_text.blocks(page), set()) == "in after"
+    page = "<article>" + "<div>" * 600 + "<nav>menu</nav><p>text</p>" + "</div>" * 600 + "<p>end</p></article>"
+    assert html_text.main_text(html_text.blocks(page), set()) == "text end"
+    assert len(html_text.blocks("<font>x<p>y</q>" * 20000)) >= 20000  # in linear time
