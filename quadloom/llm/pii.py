@@ -12,7 +12,9 @@ too, if it overlaps no base span.  Base spans are observed, so they stay.
 
 Weights are fitted here: unary ones by softmax regression, pair ones by smoothed log-odds, on
 mentions of a bounded sample of documents (SAMPLE, drawn by hash, a documented parameter) with
-the base patterns as silver labels.  Each mention likes its next twin and its next kin only, so a
+the base patterns as silver labels.  Each base mail and phone number also teaches its loose spelling, in its place;
+loose mentions of those shapes that are alike to no base span are unlabelled and teach nothing.  So shape and
+cue words can label a mention in a text without any base span.  Each mention likes its next twin and its next kin only, so a
 number that a text repeats very often costs one edge a time.
 
 Defined results: null text is empty; texts are read whole; rows are handled each on their own,
@@ -142,7 +144,11 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
 
 
 CUES = ("mail", "tel", "phone", "call", "fax", "card", "ip", "address", "number")
-N_FEATURES = 22
+N_FEATURES = 24
+AT = re.compile(r" ?(?:\[at\]|\(at\)) ?")
+SPELT = re.compile(rf"[A-Za-z0-9._%+-]+{AT.pattern}{DOMAIN.pattern}\W*")
+GROUPED = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
+COUNTRY = re.compile(r"\+[0-9]+[ .-]?")
 
 
 def features(text: str, start: int, end: int) -> np.ndarray:
@@ -162,9 +168,21 @@ def features(text: str, start: int, end: int) -> np.ndarray:
     for n, c in enumerate(CUES):
         x[12 + n] = word.startswith(c)
     x[21] = len(d) == len(s)
+    x[22] = bool(SPELT.fullmatch(s))
+    x[23] = bool(GROUPED.fullmatch(s))
     return x
 
 
+def loosened(s: str, label: int) -> str:
+    """The loose spelling of a base mail or phone number; empty if it has none."""
+    if label == 1:
+        return " (at) ".join(s.rsplit("@", 1))
+    if label == 4:
+        rest = COUNTRY.sub("", s, count=1)
+        return rest if LOOSE_NUMBER.fullmatch(rest) and len(DIGITS.findall(rest)) >= 7 else ""
+    return ""
+
+
 def likeness(text: str, start: int, end: int) -> tuple[str, str]:
     """Keys of a mention: equal ones are the same value, and equal kin keys are alike."""
     s = text[start:end].lower()
@@ -251,14 +269,20 @@ def evidence(text: str) -> tuple[list[int], list[int], list[int]] | None:
         return None
     k = len(LABELS)
     labels = [max(y, 0) for _, _, y in found]
-    edges = []
-    for a, b, kind in Field().edges(text, found):
+    links = Field().edges(text, found)
+    for a, b, kind in links:
         # a loose mention alike to an observed one is what the field is to find: it takes that label
         if kind and 0 in (labels[a], labels[b]):
             labels[a] = labels[b] = max(labels[a], labels[b])
-        edges.append((kind * k + labels[a]) * k + labels[b])
-    bits = [int(sum(1 << n for n in np.flatnonzero(features(text, s, e)).tolist())) for s, e, _ in found]
-    return bits, labels, edges
+    shapes = [features(text, s, e) for s, e, _ in found]
+    told = [y > 0 or not (x[22] or x[23]) for x, y in zip(shapes, labels)]
+    edges = [(kind * k + labels[a]) * k + labels[b] for a, b, kind in links if told[a] and told[b]]
+    taught = [(x, y) for x, y, t in zip(shapes, labels, told) if t]
+    for s, e, y in found:
+        if loose := loosened(text[s:e], y):
+            before = text[max(0, s - 24) : s]
+            taught.append((features(before + loose, len(before), len(before) + len(loose)), y))
+    return [int(sum(1 << n for n in np.flatnonzero(x).tolist())) for x, _ in taught], [y for _, y in taught], edges
 
 
 def fit(taught: list[tuple[list[int], list[int], list[int]]]) -> Field:
@@ -286,8 +310,7 @@ def fit(taught: list[tuple[list[int], list[int], list[int]]]) -> Field:
 def spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans of a text, each (start, kind, end)."""
     base = base_spans(text)
-    if not field.trained or not base:
-        # without an observed mention nothing pulls a loose one away from its silver label
+    if not field.trained:
         return base, base
     found = mentions(text, base)
     if len(found) == len(base):

@@ -2,7 +2,7 @@
 
 import random
 
-from quadloom.llm import html_text, line_dedup
+from quadloom.llm import html_text, line_dedup, pii
 
 from .test_text_operators import documents, words
 
@@ -67,3 +67,14 @@ def test_html_deep():
     page = "<article>" + "<div>" * 600 + "<nav>menu</nav><p>text</p>" + "</div>" * 600 + "<p>end</p></article>"
     assert html_text.main_text(html_text.blocks(page), set()) == "text end"
     assert len(html_text.blocks("<font>x<p>y</q>" * 20000)) >= 20000  # in linear time
+
+
+def test_pii_without_base_spans(spark):
+    rng = random.Random(6)
+    number = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    rows = [(n, f"mail ann{n}.b@mail1.example.com or call +1 {number()} now. order {rng.randrange(10**6, 10**7)} of 2024-01-{rng.randrange(10, 28)}") for n in range(60)]
+    rows += [(100, "write to jane.doe (at) example.com today"), (101, "please call (743) 555-3824 now"), (102, "tea (at) noon, order 7654321 of 2023-11-15"), (103, "nothing at all")]
+    got = {r["doc_id"]: r["text"] for r in pii.mask(documents(spark, rows)).collect()}
+    assert got[100] == "write to [EMAIL] today" and got[101] == "please call [PHONE] now"
+    assert got[102] == rows[-2][1] and got[103] == rows[-1][1]
+    assert all("order " + t.split("order ")[1] in got[n] for n, t in rows[:60])
