@@ -1,15 +1,15 @@
 """Secrets by fixed patterns and corpus-wide ownership frequency.
 
 Every document gives its base matches and further candidates: long words that mix letters and
-digits with high entropy.  A candidate's value is hashed, and distinct repositories and owners
-that hold the value are counted over the whole corpus.  A value held by more than MAX_OWNERS owners or
-MAX_REPOS repositories is a widely copied example; the rest look live.  Base spans are always
+digits with high entropy.  A candidate's value is hashed, and the distinct owners
+that hold the value are counted over the whole corpus.  A value held by more than MAX_OWNERS owners
+is a widely copied example; the rest look live, however many documents of their owners hold them.  Base spans are always
 reported; a further candidate is a span (kind `entropy`) only if it looks live.
 
-Values that very many documents hold are counted from distinct (value, owner, repository) rows
+Values that very many documents hold are counted from distinct (value, owner) rows
 with partial sums a task; no value's places are gathered.
 
-Defined results: null text is empty; a null owner or repository counts as one of its own; rows
+Defined results: null text is empty; a null owner counts as one of its own; rows
 that repeat both doc_id and text get the same result and count once; extra columns are ignored.
 """
 
@@ -29,7 +29,6 @@ from .common import arrow_map, cut, row_key, text_of
 
 KINDS = ("assign", "access", "hex")
 MAX_OWNERS = 2
-MAX_REPOS = 200
 
 # The base patterns; either case is spelt out, so that no letter beyond ASCII folds into them.
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -73,7 +72,7 @@ def loose_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
     return out
 
 
-def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """Rows (id_col, n_assign, n_access, n_hex, base_sha256, spans, live, n_examples), one for each row of `df`.
 
     spans: all spans; live: those whose value looks live; n_examples: base spans that are widely copied.
@@ -82,25 +81,23 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_co
 
     def run(batch):
         counts, sha, cands = [[], [], []], [], []
-        for t in batch.column(4).to_pylist():
+        for t in batch.column(3).to_pylist():
             base = base_spans(t)
             for k in range(3):
                 counts[k].append(sum(x[1] == k for x in base))
             sha.append(hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e, _ in base).encode()).hexdigest())
             cands.append([{"kind": k, "s": s, "e": e, "v": xxhash.xxh64_intdigest(v.encode()) - (1 << 63)} for s, k, e, v in sorted(base + loose_spans(t, base))])
-        out = {"doc": batch.column(0), "key": batch.column(1), "owner": batch.column(2), "repo": batch.column(3)}
+        out = {"doc": batch.column(0), "key": batch.column(1), "owner": batch.column(2)}
         out |= {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts)}
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64()), ("v", pa.int64())]))
         return out | {"base_sha256": pa.array(sha, pa.string()), "cands": pa.array(cands, kind)}
 
     of = lambda c: df.schema[c].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("doc"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("\0")).alias("repo"), text_of(text_col).alias("text"))
-    rows = cut(arrow_map(rows, run, f"doc {of(id_col)}, key long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, cands array<struct<kind: int, s: long, e: long, v: long>>"))
-    each = rows.where(F.size("cands") > 0).select("key", "owner", "repo", F.explode("cands").alias("c")).select("key", "owner", "repo", "c.*")
-    held = each.select("v", "owner", "repo").distinct()
-    by_owner = held.groupBy("v", "owner").agg(F.count("*").alias("repos"))
-    freq = by_owner.groupBy("v").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    wide = freq.where((F.col("owners") > max_owners) | (F.col("repos") > max_repos)).select("v", F.lit(True).alias("wide"))
+    rows = df.select(F.col(id_col).alias("doc"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"), text_of(text_col).alias("text"))
+    rows = cut(arrow_map(rows, run, f"doc {of(id_col)}, key long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, cands array<struct<kind: int, s: long, e: long, v: long>>"))
+    each = rows.where(F.size("cands") > 0).select("key", "owner", F.explode("cands").alias("c")).select("key", "owner", "c.*")
+    freq = each.select("v", "owner").distinct().groupBy("v").agg(F.count("*").alias("owners"))
+    wide = freq.where(F.col("owners") > max_owners).select("v", F.lit(True).alias("wide"))
     told = each.select("key", "kind", "s", "e", "v").distinct().join(wide, "v", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     told = told.where(~F.col("wide") | (F.col("kind") < 3)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "kind", "e", "wide"))).alias("all"))
     name = lambda x: F.element_at(F.array(*map(F.lit, names)), x["kind"] + 1)

@@ -2,7 +2,7 @@
 
 import random
 
-from quadloom.llm import html_text, line_dedup, pii
+from quadloom.llm import html_text, line_dedup, pii, secrets
 
 from .test_text_operators import documents, words
 
@@ -78,3 +78,11 @@ def test_pii_without_base_spans(spark):
     assert got[100] == "write to [EMAIL] today" and got[101] == "please call [PHONE] now"
     assert got[102] == rows[-2][1] and got[103] == rows[-1][1]
     assert all("order " + t.split("order ")[1] in got[n] for n, t in rows[:60])
+
+
+def test_secrets_of_one_owner(spark):
+    own, shared = "Zk9fQ2xLpT7vWb3YhN8rDs", "Qx7bN4mKtR9wZc2VfJ6hLp"
+    rows = [(3 * n, f"see {own} row {n}") for n in range(300)] + [(n, f"use {shared} row {n}") for n in range(2000, 2006)]
+    got = {r["doc_id"]: r for r in secrets.scan(documents(spark, rows)).collect()}  # the owner is src{doc_id % 3}
+    assert all(got[3 * n]["live"] == got[3 * n]["spans"] == "entropy:4:26" for n in range(300))
+    assert all(got[n]["spans"] == "" for n in range(2000, 2006))
