@@ -5,7 +5,7 @@ Base spans come from four fixed patterns, leftmost and non-overlapping a kind, w
 the base spans and the loose ones: numbers of seven digits or more, words with an at sign or a
 spelt-out one.  Labels are none, email, ip, card and phone.  Each mention has unary potentials
 from its shape and the word before it, each next mention a chain potential, and mentions that
-are equal or alike (same digits, one's digits ending the other's, same mailbox or mail host)
+are equal or alike (same digits, one's digits ending the other's, same mailbox)
 share a skip potential, however far apart they are.  Loopy belief propagation passes
 messages along both until they settle; a loose mention whose best label isn't none is a span
 too, if it overlaps no base span.  Base spans are observed, so they stay.
@@ -29,6 +29,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from .common import arrow_map, row_key, text_of
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE = 4000
-#: Mentions that one document teaches at most.
+#: Mentions that one document teaches at most, drawn by hash over the whole text.
 PER_TEXT = 32
 ROUNDS = 12
 #: Least log-potential by which alike mentions draw each other to one label.
@@ -264,7 +265,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def evidence(text: str) -> tuple[list[int], list[int], list[int]] | None:
     """What a text teaches: its mentions' features (as bits), silver labels, and its edges' (kind, label, label) as numbers."""
-    found = mentions(text, base_spans(text))[:PER_TEXT]
+    found = mentions(text, base_spans(text))
     if not found:
         return None
     k = len(LABELS)
@@ -274,11 +275,15 @@ def evidence(text: str) -> tuple[list[int], list[int], list[int]] | None:
         # a loose mention alike to an observed one is what the field is to find: it takes that label
         if kind and 0 in (labels[a], labels[b]):
             labels[a] = labels[b] = max(labels[a], labels[b])
-    shapes = [features(text, s, e) for s, e, _ in found]
-    told = [y > 0 or not (x[22] or x[23]) for x, y in zip(shapes, labels)]
+    hashes = [xxhash.xxh64_intdigest(f"{n}:{text[s:e]}".encode("utf-8", "surrogatepass")) for n, (s, e, _) in enumerate(found)]
+    drawn = set(sorted(range(len(found)), key=hashes.__getitem__)[:PER_TEXT])
+    # an edge is taught with its left mention
+    links = [x for x in links if x[0] in drawn]
+    shapes = {n: features(text, *found[n][:2]) for n in drawn | {b for _, b, _ in links}}
+    told = {n: labels[n] > 0 or not (x[22] or x[23]) for n, x in shapes.items()}
     edges = [(kind * k + labels[a]) * k + labels[b] for a, b, kind in links if told[a] and told[b]]
-    taught = [(x, y) for x, y, t in zip(shapes, labels, told) if t]
-    for s, e, y in found:
+    taught = [(shapes[n], labels[n]) for n in sorted(drawn) if told[n]]
+    for s, e, y in (found[n] for n in sorted(drawn)):
         if loose := loosened(text[s:e], y):
             before = text[max(0, s - 24) : s]
             taught.append((features(before + loose, len(before), len(before) + len(loose)), y))

@@ -86,3 +86,9 @@ def test_secrets_of_one_owner(spark):
     got = {r["doc_id"]: r for r in secrets.scan(documents(spark, rows)).collect()}  # the owner is src{doc_id % 3}
     assert all(got[3 * n]["live"] == got[3 * n]["spans"] == "entropy:4:26" for n in range(300))
     assert all(got[n]["spans"] == "" for n in range(2000, 2006))
+
+
+def test_pii_evidence_of_whole_text():
+    text = " ".join(f"order {n}" for n in range(1000000, 1000100)) + " " + " ".join(f"mail a{n}@b.example.com" for n in range(100))
+    bits, labels, edges = pii.evidence(text)
+    assert labels.count(0) + (len(labels) - labels.count(0)) // 2 == pii.PER_TEXT and labels.count(0) > 4 and labels.count(1) > 8 and edges
