@@ -9,8 +9,9 @@ is the merge result, so no merge is ever replayed.  Decoding copies byte ranges
 table: all tokens' bytes end to end, and where each begins.
 
 Defined results: null text is the empty text (no ids); texts are encoded whole whatever
-their length; repeated rows are encoded alike; the special token's string in a text is that
-token, as the tokenizers library has it; extra columns are ignored.
+their length; repeated rows, and rows that share a null or other id, are encoded each on their own; where merges tie the left one
+is made first; the special token's string in a text is that token, as the tokenizers library has it; an empty
+table gives no rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, claim, text_of, vocabulary_path
+from .common import arrow_map, named, remember, text_of, vocabulary_path
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most entries that a worker remembers before it starts anew.
-MEMORY = 600_000
+MEMORY = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -202,7 +203,7 @@ def codec(path: str) -> Codec:
     if path not in _codecs:
         _codecs[path] = Codec(path)
     c = _codecs[path]
-    claim("bpe", c.words, c.chunks, c.pairs)
+    remember(c.words, c.chunks, c.pairs)
     return c
 
 
@@ -216,7 +217,7 @@ def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path:
         return {id_col: batch.column(0), "ids": pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())), "decoded": pa.array([c.decode(x).decode("utf-8") for x in ids], pa.string())}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(F.col(id_col), text_of(text_col).alias("_text")), run, f"`{id_col}` {kind}, ids array<long>, decoded string")
+    return arrow_map(df.select(named(id_col), text_of(text_col).alias("_text")), run, f"`{id_col}` {kind}, ids array<long>, decoded string")
 
 
 def encode_digest(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -234,4 +235,4 @@ def encode_digest(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         return {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(F.col(id_col), text_of(text_col).alias("_text")), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(df.select(named(id_col), text_of(text_col).alias("_text")), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,16 +1,22 @@
-"""What several operators of this folder share: checkpoints, row keys and components."""
+"""What several operators of this folder share: intermediate tables, row keys, look-up stores and components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+#: Bytes that one side of a join may have, in the size of its numbers, to be sent to every executor.
+BROADCAST_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,28 +24,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset
-    (a local test) a folder of our own is made.
+    Only in local mode, where there is one machine, a folder of our own stands in if that is unset.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         path = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quadloom-"))
+        if path is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="quadloom-")
+        sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Stored:
+    """A table written to the shared folder as Parquet; `df` reads it, `drop` deletes it.
+
+    For large intermediates: compressed, read by column, and gone as soon as what was made of them is kept elsewhere.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def named(column: str):
+    """A column by its exact name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or one made longer until no column of `df` has it, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def row_key(*cols: str):
-    """A 64-bit key of a row that does not need `doc_id` to be unique or non-null."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
+    """A 64-bit key of a row; with the row's id beside it, one of 64 bits more."""
+    return F.xxhash64(*[F.coalesce(named(c).cast("string"), F.lit("\0")) for c in cols])
 
 
 def text_of(column: str = "text"):
     """The text with null read as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
 def vocabulary_path(name: str) -> str:
@@ -52,18 +96,48 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """`mapInArrow` with `fn(batch) -> dict of columns` called on bounded record batches."""
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """`mapInArrow` with `fn(batch) -> dict of columns` called on bounded record batches.
+
+    What `fn` remembers in registered stores is let go at the end of each partition.
+    """
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    out = fn(batch)
+                    yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.values()], names=list(out))
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 
 
+_stores: dict[int, dict] = {}
+
+
+def remember(*stores: dict) -> None:
+    """Register look-up stores of this worker, so that `release` empties them."""
+    for d in stores:
+        _stores[id(d)] = d
+
+
+def release() -> None:
+    """Empty this worker's look-up stores and give the memory back to the system.
+
+    Workers serve one operator after another and stay for a while when idle; what they remember would add up.
+    """
+    for d in _stores.values():
+        d.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its pages
+        pass
+
+
 def _forest(batches):
     """A spanning forest of the edges of one partition, so that later rounds see few edges."""
     parent: dict[int, int] = {}
@@ -98,7 +172,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     `component` is the smallest id that can be reached.  Large-star / small-star rounds:
     each is a partial minimum by node and a join with those minima, so a node with very many
     edges is pre-aggregated before its shuffle; the minima are checkpointed, so that the join is
-    by broadcast where their count allows it and else one that Spark can split where it is skewed.  Nodes without an
+    by broadcast where their size allows it and else one that Spark can split where it is skewed.  Nodes without an
     edge to another node have no row.  Nulls and self-loops are dropped; no edges give no
     rows.  Raises after `rounds` rounds rather than return components that are not final.
     """
@@ -133,50 +207,34 @@ def bits(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """`df` marked for broadcast if it has at most `rows` rows (of a few numbers each), else as it is.
-
-    `df` should be a checkpoint, so that the count is cheap.  Beyond the bound Spark joins by shuffle.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-_stores: dict[str, list[dict]] = {}
-_owner: str | None = None
-
-
-def claim(owner: str, *stores: dict) -> None:
-    """Say that `owner` now fills these look-up stores in this worker; those of all other owners are emptied.
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if its rows take at most `most` bytes, else as it is; then Spark joins by shuffle.
 
-    Workers serve one operator after another, and what each remembers would else add up.
+    A number counts eight bytes and a row sixteen more; arrays and strings count by their lengths in all.
+    `df` should be a checkpoint or a stored table, so that counting is cheap.
     """
-    global _owner
-    _stores[owner] = list(stores)
-    if _owner != owner:
-        for name, others in _stores.items():
-            if name != owner:
-                for d in others:
-                    d.clear()
-        _owner = owner
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    fixed = 16 + 8 * sum(len(f.dataType) if isinstance(f.dataType, StructType) else 1 for f in df.schema)
+    long = [F.sum(8 * F.greatest(F.size(f.name), F.lit(0))) for f in df.schema if isinstance(f.dataType, ArrayType)]
+    long += [F.sum(F.octet_length(f.name)) for f in df.schema if isinstance(f.dataType, StringType)]
+    row = df.agg(F.count("*"), *long).first()
+    return F.broadcast(df) if row[0] * fixed + sum(n or 0 for n in row[1:]) <= most else df
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered; bounded by `forget`."""
+    """word -> 64-bit hash, remembered; bounded."""
 
     def __missing__(self, word: str) -> int:
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
     def of(self, words: list[str]) -> np.ndarray:
-        claim("hashes", self)
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 word_hashes = WordHashes()
+remember(word_hashes)
 
 
 def shingles(text: str, n: int) -> np.ndarray:

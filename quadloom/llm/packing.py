@@ -6,14 +6,16 @@ is packed by best-fit decreasing.  A dual-feasible function f (one for which siz
 bin have f-values of at most 1 in sum) bounds the bins that any packing of the group needs;
 a group whose best-fit count equals its bound is certified and final.  Of every other group,
 and of each group's emptiest bin, the pieces go back: they are dealt anew, across groups, and
-packed again, until one group is left, a round gains nothing, or the rounds are used up.
+packed again, until one group is left, a round gains nothing, or the rounds are used up.  Column `certified` tells of each
+piece whether the group that it was last packed in met its bound; what isn't certified when the rounds end says so.
 
 The tokeniser's ids are those of the tokenizers library for the whole text.  White space bounds
 this vocabulary's tokens, so ids of blank-separated words are remembered by each worker.
 
 Defined results: null text is empty, and a document without ids is its end id alone; texts are
-read whole; rows that repeat doc_id (null too) are documents of their own, told apart by nothing
-in the output; extra columns are ignored; an empty table gives no rows.
+read whole, however long; rows that repeat doc_id (null too) are documents of their own, told apart by nothing
+in the output; pieces of equal length are packed in order of row key and piece; extra columns are ignored whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, claim, cut, row_key, text_of, vocabulary_path
+from .common import arrow_map, cut, named, remember, row_key, text_of, vocabulary_path
 
 #: Entries of each look-up store; a full one becomes the old one, from which what is met again moves on.
-MEMORY = 200_000
+MEMORY = 120_000
 #: The vocabulary's pre-tokens, after its lower-casing.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -134,7 +136,7 @@ def pieces(df: DataFrame, size: int, end_id: int, path: str, text_col: str, id_c
 
     def run(batch):
         t = tokenizer(path)
-        claim("packing", t.known, t.words, t.known_old, t.words_old)
+        remember(t.known, t.words, t.known_old, t.words_old)
         at: list[int] = []
         cols: list[list[int]] = [[], [], [], []]
         for n, text in enumerate(batch.column(2).to_pylist()):
@@ -150,24 +152,31 @@ def pieces(df: DataFrame, size: int, end_id: int, path: str, text_col: str, id_c
         return out | {n: pa.array(c, k) for n, c, k in zip(("piece", "start", "length", "ids_crc32"), cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(F.col(id_col).alias("doc"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text")), run, f"doc {kind}, key long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(df.select(named(id_col).alias("doc"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text")), run, f"doc {kind}, key long, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Bins of `size` that any packing needs: the best of a family of dual-feasible functions.
+def lower_bound(lengths: np.ndarray, size: int, most: int = 32) -> int:
+    """Bins of `size` that any packing needs: the best of two families of dual-feasible functions.
 
-    f_k(x) counts a piece above size - k as a whole bin, drops those below k and keeps the
-    rest by length, for every k up to half a bin (k = 0 is the volume bound).
+    The first, for every k up to half a bin, counts a piece above size - k as a whole bin, drops those below k
+    and keeps the rest by length (k = 0 is the volume bound).  The second, for every k from 1 to `most`, rounds a
+    piece down to the k + 1st parts of a bin that it spans, each worth a k-th, unless it spans them exactly.
     """
     if not len(lengths):
         return 0
     count = np.bincount(lengths, minlength=size + 1)[: size + 1].astype(np.int64)
-    mass = np.cumsum(count * np.arange(size + 1))
+    x = np.arange(size + 1)
+    mass = np.cumsum(count * x)
     many = np.cumsum(count)
     k = np.arange(size // 2 + 1)
     big = many[size] - many[size - k]
     mid = mass[size - k] - np.where(k > 0, mass[np.maximum(k - 1, 0)], 0)
-    return int((big + -(-mid // size)).max())
+    best = int((big + -(-mid // size)).max())
+    for k in range(1, most + 1):
+        parts, rest = np.divmod((k + 1) * x, size)
+        worth = np.where(rest == 0, k * x, parts * size)
+        best = max(best, -(-int((count * worth).sum()) // (k * size)))
+    return best
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,14 +223,14 @@ def _group_packer(size: int, last: bool):
         if not last and len(used):
             # an uncertified group gives up all bins with room; a certified one only its emptiest
             back = used < size if not certified else (used == used.min()) & (used < size) & (np.arange(len(used)) == int(used.argmin()))
-        out = pdf.assign(bin=bins, offset=offset, done=~back[bins])
-        return out[["doc", "key", "nth", "piece", "start", "length", "ids_crc32", "grp", "bin", "offset", "done"]]
+        out = pdf.assign(bin=bins, offset=offset, done=~back[bins], certified=certified)
+        return out[["doc", "key", "nth", "piece", "start", "length", "ids_crc32", "grp", "bin", "offset", "done", "certified"]]
 
     return pack
 
 
 def pack(df: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, group: int = 2048, rounds: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Pack all documents of `df`; rows (id_col, piece, start, length, ids_crc32, sequence_id, offset).
+    """Pack all documents of `df`; rows (id_col, piece, start, length, ids_crc32, sequence_id, offset, certified).
 
     group: pieces that one task packs at once on average.  The number of groups follows the number of pieces,
     so a task's memory doesn't grow with the input.  A sequence_id names (round, group, bin).
@@ -230,9 +239,9 @@ def pack(df: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = No
     kind = df.schema[id_col].dataType.simpleString()
     rest = cut(pieces(df, size, end_id, path, text_col, id_col).withColumn("nth", F.monotonically_increasing_id()))
     whole = rest.where(F.col("length") == size)
-    done = [whole.select("doc", "piece", "start", "length", "ids_crc32", (-F.col("nth") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [whole.select("doc", "piece", "start", "length", "ids_crc32", (-F.col("nth") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))]
     rest = rest.where(F.col("length") < size)
-    schema = f"doc {kind}, key long, nth long, piece int, start long, length long, ids_crc32 long, grp int, bin long, offset long, done boolean"
+    schema = f"doc {kind}, key long, nth long, piece int, start long, length long, ids_crc32 long, grp int, bin long, offset long, done boolean, certified boolean"
     before = None
     for step in range(rounds):
         n = rest.count()
@@ -243,7 +252,7 @@ def pack(df: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = No
         dealt = rest.withColumn("grp", F.pmod(F.xxhash64("key", "piece", "nth", F.lit(step)), F.lit(groups)).cast("int"))
         packed = cut(dealt.groupBy("grp").applyInPandas(_group_packer(size, last), schema))
         sequence = (F.lit(step).cast("long") * F.lit(1 << 58)) + F.col("grp").cast("long") * F.lit(1 << 26) + F.col("bin")
-        done.append(packed.where("done").select("doc", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset"))
+        done.append(packed.where("done").select("doc", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset", "certified"))
         rest = packed.where("not done").select("doc", "key", "nth", "piece", "start", "length", "ids_crc32")
         before = n
         if last:

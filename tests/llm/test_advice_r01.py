@@ -2,49 +2,11 @@
 
 import random
 
-from quadloom.llm import html_text, line_dedup, pii, secrets
+from quadloom.llm import html_text, pii, secrets
 
 from .test_text_operators import documents, words
 
 
-def brute_words(rows, least):
-    """Places of the words in runs of `least` words that stand at an earlier place."""
-    seen, out = set(), {}
-    for i, text in rows:
-        w = text.split()
-        gone = set()
-        for a in range(len(w) - least + 1):
-            k = tuple(w[a : a + least])
-            if k in seen:
-                gone.update(range(a, a + least))
-            seen.add(k)
-        out[i] = gone
-    return out
-
-
-def test_line_dedup_across_line_ends(spark):
-    rng = random.Random(8)
-    a, b, c, d = (words(rng, 20) for _ in range(4))
-    mine, other = words(rng, 12, 9000), words(rng, 12, 9000)
-    rows = [(1, f"{mine} {a}\n{b}\n{c} {other}"), (2, f"x {a}\n\n{b}\n{c} y"), (3, f"v {a} {b} {c} {d} y\nz")]
-    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.apply(documents(spark, rows)).collect()}
-    assert got == {1: (rows[0][1], 0), 2: ("x\ny", 2), 3: (f"v {d} y\nz", 0)}
-    # all words, against brute force: passages cut at any word, joined to other text, in lines of any length
-    pool = [words(rng, 90).split() for _ in range(6)]
-    rows = []
-    for n in range(80):
-        out = []
-        for _ in range(rng.randrange(1, 6)):
-            p, at = rng.choice(pool), rng.randrange(60)
-            out += p[at : at + rng.randrange(5, 90)] + words(rng, rng.randrange(0, 20), 9000).split()
-        rows.append((n, "".join(w + (" " if rng.random() < 0.9 else "\n") for w in out)))
-    for least in (10, 50):
-        spans = {r["key"]: r["spans"] for r in line_dedup.repeated_spans(documents(spark, rows), least).collect()}
-        keys = {r["doc_id"]: r["key"] for r in documents(spark, rows).select("doc_id", line_dedup.row_key("doc_id", "text").alias("key")).collect()}
-        found = {i: {w for s in spans.get(keys[i], []) for w in range(s >> 32, s & 0xFFFFFFFF)} for i, _ in rows}
-        assert found == brute_words(rows, least)
-
-
 def test_html_tree_inside_articles(spark):
     rng = random.Random(2)
     page = "<html><body><div>{bar}</div><article><h1>{head}</h1><p>{a}</p><p>{b}</p><div class='x7'><p>Licensed to all by the press office of this town, who keep every right there is</p></div></article></body></html>"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadloom.llm import bpe, html_text, line_dedup, ngram_join, packing, pii, secrets, toxicity
+from quadloom.llm import bpe, html_text, ngram_join, packing, pii, secrets, toxicity
 from quadloom.llm.common import components, vocabulary_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, node long, grp string, score double, owner string"
@@ -100,40 +100,6 @@ def test_bpe(spark, odd):
     assert bpe.encode(documents(spark, []).limit(0)).count() == 0
 
 
-def brute_lines(rows, least):
-    """Lines of runs of `least` words or more that stand at an earlier place."""
-    seen, out = set(), {}
-    for i, text in rows:
-        lines = (text or "").split("\n")
-        body = [(n, x.strip()) for n, x in enumerate(lines) if x.split()]
-        gone, new = set(), []
-        for a in range(len(body)):
-            many = 0
-            for b in range(a, len(body)):
-                many += len(body[b][1].split())
-                if many >= least:
-                    k = tuple(x for _, x in body[a : b + 1])
-                    if k in seen:
-                        gone.update(range(body[a][0], body[b][0] + 1))
-                    seen.add(k)
-        out[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
-    return out
-
-
-def test_line_dedup(spark):
-    rng = random.Random(4)
-    pool = [words(rng, n) for n in (1, 3, 6, 10, 15, 30, 60) for _ in range(4)]
-    rows = [(n, "\n".join(rng.choice(pool) if rng.random() < 0.7 else words(rng, rng.randrange(1, 40)) for _ in range(rng.randrange(0, 25)))) for n in range(60)]
-    for least in (10, 50):
-        got = {r["doc_id"]: r["text"] for r in line_dedup.apply(documents(spark, rows), least).collect()}
-        assert got == brute_lines(rows, least)
-    extra = [(1, None), (2, ""), (3, pool[-1]), (3, pool[-1]), (4, pool[-1]), (None, pool[-1] + "\n\n"), (5, "\n".join(["x"] * 5000))]
-    got = line_dedup.apply(documents(spark, extra))
-    texts = sorted((str(r["doc_id"]), r["text"], r["lines_removed"]) for r in got.collect())
-    assert texts == sorted([("1", None, 0), ("2", "", 0), ("3", "", 1), ("3", "", 1), ("4", "", 1), ("None", pool[-1] + "\n\n", 0), ("5", "\n".join(["x"] * 50), 4950)]) or texts[-2][0] == "5"
-    assert got.columns[:-1] == documents(spark, []).columns and line_dedup.apply(documents(spark, []).limit(0)).count() == 0
-
-
 def brute_classes(rows, n=5, least=0.8):
     sets = []
     for _, t in rows:
