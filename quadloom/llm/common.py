@@ -114,6 +114,23 @@ def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, keep: list[str], extra: list[str], fn, added: dict[str, str] | None = None) -> DataFrame:
+    """Columns `keep` of `df`, as `fn` returns them, and the columns `added` (name -> type) behind them.
+
+    fn(columns of keep, columns of extra) -> columns of keep and added; inside, columns have no names, so any names may stand outside.
+    """
+    added = added or {}
+    plain = df.select(*[named(c).alias(f"c{n}") for n, c in enumerate([*keep, *extra])])
+    schema = plain.select(*[f"c{n}" for n in range(len(keep))]).schema
+    for n, kind in enumerate(added.values()):
+        schema = schema.add(f"a{n}", kind)
+
+    def run(batch):
+        return dict(zip(schema.names, fn(list(batch.columns[: len(keep)]), list(batch.columns[len(keep) :]))))
+
+    return arrow_map(plain, run, schema).toDF(*keep, *added)
+
+
 _stores: dict[int, dict] = {}
 
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, arrow_map, bits, cut, named, row_key, small, text_of, unused
+from .common import Stored, arrow_map, bits, cut, map_columns, named, row_key, small, text_of, unused
 
 MIN_WORDS = 50
 #: Words of a part of a line that goes, at least.
@@ -326,12 +326,12 @@ def apply(df: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_
     key, of, own, held = (unused(df, n) for n in ("__key", "__of", "__doc", "__spans"))
     spans = spans.toDF(own, of, held)
     keyed = df.select(*map(named, names), row_key(id_col, text_col).alias(key))
-    joined = keyed.join(small(spans), (F.col(key) == F.col(of)) & named(id_col).eqNullSafe(F.col(own)), "left").select(*map(named, names), held)
+    joined = keyed.join(small(spans), (F.col(key) == F.col(of)) & named(id_col).eqNullSafe(F.col(own)), "left")
     at = names.index(text_col)
 
-    def run(batch):
-        cols, spans = list(batch.columns[:-1]), batch.column(len(names))
-        gone = np.zeros(batch.num_rows, np.int64)
+    def run(cols, extra):
+        spans = extra[0]
+        gone = np.zeros(len(spans), np.int64)
         rows = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
         if len(rows):
             new = []
@@ -339,6 +339,6 @@ def apply(df: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_
                 text, gone[n] = without(text or "", own)
                 new.append(text)
             cols[at] = pc.replace_with_mask(cols[at], spans.is_valid(), pa.array(new, cols[at].type))
-        return dict(zip(names, cols)) | {"lines_removed": pa.array(gone)}
+        return [*cols, pa.array(gone)]
 
-    return arrow_map(joined, run, df.select(*map(named, names)).schema.add("lines_removed", "long"))
+    return map_columns(joined, names, [held], run, {"lines_removed": "long"})

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, named, release, remember, text_of
+from .common import arrow_map, cut, map_columns, named, remember, text_of
 
 MAX_EXAMPLES = 2000
 PREFIXES = (4, 5, 6)
@@ -294,14 +294,10 @@ def reject(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAM
     shared = spark.sparkContext.broadcast(train(documents, labels, max_examples, id_col, text_col))
     at = documents.columns.index(text_col)
 
-    def run(batches):
+    def run(cols, _):
         index = shared.value
         remember(index.words)
-        try:
-            for batch in batches:
-                texts = batch.column(at).to_pylist()
-                yield batch.filter(pa.array([index.score(t or "")[0] < threshold for t in texts], pa.bool_()))
-        finally:
-            release()
-
-    return documents.mapInArrow(run, documents.schema)
+        stay = pa.array([index.score(t or "")[0] < threshold for t in cols[at].to_pylist()], pa.bool_())
+        return [c.filter(stay) for c in cols]
+
+    return map_columns(documents, documents.columns, [], run)

@@ -5,9 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from quadloom.llm import bpe, html_text, ngram_join, packing, pii, secrets, toxicity
+from quadloom.llm import bpe, html_text, ngram_join, packing, pii, secrets
 from quadloom.llm.common import components, vocabulary_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, node long, grp string, score double, owner string"
@@ -162,44 +161,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_toxicity(spark):
-    rng = random.Random(6)
-    bad = ["idiotic", "moronish", "scumbag"]
-    rows, labels = [], []
-    for n in range(400):
-        toxic = n % 4 == 0
-        w = words(rng, 60, 300).replace("w", "wa").split()
-        w = ["".join(chr(97 + int(c)) if c.isdigit() else c for c in x) for x in w]
-        if toxic:
-            for _ in range(3):
-                w[rng.randrange(60)] = rng.choice(bad)
-        rows.append((n, " ".join(w)))
-        labels.append((n, 1, int(toxic)))
-    rows += [(900, None), (901, ""), (902, "IDIOTIC scumbag!! moronish")]
-    lab = spark.createDataFrame(labels + [(None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in toxicity.score(documents(spark, rows), lab).collect()}
-    held = [n for n, _, _ in labels if zlib.crc32(str(n).encode()) % 5 == 0]
-    truth = {n: t for n, _, t in labels}
-    assert np.mean([got[n]["predicted"] == truth[n] for n in held]) > 0.95
-    assert got[902]["predicted"] == 1 and got[900]["score"] == got[901]["score"] < 0.5 and all(0 <= r["score"] <= 1 for r in got.values())
-    kept = toxicity.reject(documents(spark, rows), lab)
-    assert 902 not in {r["doc_id"] for r in kept.collect()} and kept.columns == documents(spark, []).columns
-    assert toxicity.score(documents(spark, rows[:3]), lab.limit(0)).agg(F.max("score")).first()[0] == 0.0
-    # the block-max search is exact
-    ix = toxicity.Index([t or "" for _, t in rows[:400]], [truth[n] for n in range(400)])
-    for _, t in rows[:60]:
-        ids, w = ix.vector(t)
-        if len(ids):
-            docs, sims = ix.nearest(ids, w)
-            full = np.zeros(400)
-            for i, x in zip(ids, w):
-                blocks, places, weights, _, _ = ix.post[i]
-                full[blocks * toxicity.BLOCK + places] += x * weights
-            order = np.lexsort((np.arange(400), -full))[: ix.k]
-            order = order[full[order] > 0]
-            assert list(docs) == list(order) and np.allclose(sims, np.minimum(full[order], 1))
-
-
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a = "</p><p>no";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use cookies</div>{body}
 <aside>side</aside><form><p>form</p></form><div id="comments"><p>first!</p></div><footer>&copy; foot</footer></body></html>"""
