@@ -5,21 +5,24 @@ Base spans come from four fixed patterns, leftmost and non-overlapping a kind, w
 the base spans and the loose ones: numbers of seven digits or more, words with an at sign or a
 spelt-out one.  Labels are none, email, ip, card and phone.  Each mention has unary potentials
 from its shape and the word before it, each next mention a chain potential, and mentions that
-are equal or alike (same digits, one's digits ending the other's, same mailbox)
+are equal or alike (same digits, one's last seven digits the other's, same mailbox)
 share a skip potential, however far apart they are.  Loopy belief propagation passes
-messages along both until they settle; a loose mention whose best label isn't none is a span
+messages along both until none changes by more than SETTLED, damped after ROUNDS rounds and for MAX_ROUNDS at
+most; a loose mention whose best label isn't none is a span
 too, if it overlaps no base span.  Base spans are observed, so they stay.
 
-Weights are fitted here: unary ones by softmax regression, pair ones by smoothed log-odds, on
-mentions of a bounded sample of documents (SAMPLE, drawn by hash, a documented parameter) with
-the base patterns as silver labels.  Each base mail and phone number also teaches its loose spelling, in its place;
+All weights are fitted here, on mentions of a bounded sample of documents (SAMPLE, drawn by hash, a documented
+parameter) with the base patterns as silver labels: unary ones by softmax regression, pair ones as log-odds of the
+label pairs of chain and skip edges, with PRIOR_EDGES imagined skip edges that mostly agree, so that a corpus which
+repeats few mentions has potentials as well.  Each base mail and phone number also teaches its loose spelling, as if its pattern were hidden, in its place;
 loose mentions of those shapes that are alike to no base span are unlabelled and teach nothing.  So shape and
 cue words can label a mention in a text without any base span.  Each mention likes its next twin and its next kin only, so a
 number that a text repeats very often costs one edge a time.
 
-Defined results: null text is empty; texts are read whole; rows are handled each on their own,
-whatever repeats; without any mention in the sample all weights are zero and only base spans come
-out; extra columns are ignored by `find` and kept by `mask`.
+Defined results: null text is empty (and stays null when masked), an empty text has no spans; texts are read whole in time linear in their
+length; rows are handled each on their own, whatever repeats; overlapping spans are listed by start, then kind, and masked as one;
+without any mention in the sample all weights are zero and only base spans come
+out; an empty table gives no rows; extra columns are ignored by `find` and kept by `mask`, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,29 +34,32 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import arrow_map, row_key, text_of
+from .common import arrow_map, map_columns, named, row_key, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE = 4000
 #: Mentions that one document teaches at most, drawn by hash over the whole text.
 PER_TEXT = 32
-ROUNDS = 12
-#: Least log-potential by which alike mentions draw each other to one label.
-AGREE = 4.0
+ROUNDS, MAX_ROUNDS = 64, 1000
+SETTLED = 1e-6
+#: Imagined skip edges, and the share of them whose ends agree.
+PRIOR_EDGES, PRIOR_AGREES = 40.0, 0.98
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # The base patterns.  The mail pattern is matched from its at sign outwards, and the
 # address pattern as runs of dotted numbers taken by fours, which gives the same matches in linear time.
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 LOOSE_NUMBER = re.compile(r"\(?[0-9]+\)?(?:[ .\-][0-9]+)*")
-LOOSE_MAIL = re.compile(r"[^\s@()\[\]]+ ?(?:@|\[at\]|\(at\)) ?[^\s@()\[\]]+")
+AT_SIGN = re.compile(r"@|\[at\]|\(at\)")
+#: What stands on both sides of an at sign, one blank between at most.
+SIDE = re.compile(r" ?([^\s@()\[\]]+)")
+NO_SIDE = frozenset("@()[]")
 DIGITS = re.compile(r"[0-9]")
 BEFORE = re.compile(r"([^\W\d_]+)\W*$")
 
@@ -109,11 +115,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def loose_mails(text: str) -> list[tuple[int, int]]:
+    """Words around an at sign or a spelt-out one, leftmost and non-overlapping; matched outwards from the signs."""
+    out, at = [], 0
+    for m in AT_SIGN.finditer(text) if "@" in text or "(at)" in text or "[at]" in text else ():
+        s = m.start() - (m.start() > at and text[m.start() - 1] == " ")
+        end = s
+        while s > at and not text[s - 1].isspace() and text[s - 1] not in NO_SIDE:
+            s -= 1
+        right = SIDE.match(text, m.end()) if s < end else None
+        if right:
+            out.append((s, right.end()))
+            at = right.end()
+    return out
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, observed label or -1): base spans and the loose mentions beside them, in order."""
     found = [(s, e, k + 1) for s, k, e in base]
-    if "@" in text or "(at)" in text or "[at]" in text:
-        found += [(m.start(), m.end(), -1) for m in LOOSE_MAIL.finditer(text)]
+    found += [(s, e, -1) for s, e in loose_mails(text)]
     if DIGITS.search(text):
         found += [(m.start(), m.end(), -1) for m in LOOSE_NUMBER.finditer(text) if len(DIGITS.findall(m[0])) >= 7]
     found.sort(key=lambda x: (x[2] < 0, x[0], -x[1]))
@@ -147,7 +167,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
 CUES = ("mail", "tel", "phone", "call", "fax", "card", "ip", "address", "number")
 N_FEATURES = 24
 AT = re.compile(r" ?(?:\[at\]|\(at\)) ?")
-SPELT = re.compile(rf"[A-Za-z0-9._%+-]+{AT.pattern}{DOMAIN.pattern}\W*")
+SPELT = re.compile(rf"[A-Za-z0-9._%+-]++{AT.pattern}{DOMAIN.pattern}\W*+")
 GROUPED = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
 COUNTRY = re.compile(r"\+[0-9]+[ .-]?")
 
@@ -218,8 +238,8 @@ class Field:
             last[same] = last[kin] = n
         return out
 
-    def beliefs(self, unary: np.ndarray, edges: list[tuple[int, int, int]], rounds: int = ROUNDS) -> np.ndarray:
-        """Label marginals by loopy sum-product messages; exact where the edges form a forest."""
+    def beliefs(self, unary: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
+        """Label marginals by loopy sum-product messages; exact where the edges form a forest of at most ROUNDS in width."""
         if not edges:
             return softmax(unary)
         a, b, kind = (np.array(x, np.int64) for x in zip(*edges))
@@ -228,16 +248,17 @@ class Field:
         table = np.concatenate([table, table.transpose(0, 2, 1)])  # [edge, from, to]
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         msg = np.zeros((len(src), unary.shape[1]))
-        for n in range(max(rounds, min(len(unary), 64))):
+        for n in range(MAX_ROUNDS):
             total = unary.copy()
             np.add.at(total, dst, msg)
             into = (total[src] - msg[back])[:, :, None] + table
             new = logsum(into, 1)
             new -= new.max(axis=1, keepdims=True)
-            new = 0.5 * (new + msg) if n >= rounds else new
-            if np.abs(new - msg).max() < 1e-9:
-                break
+            new = 0.5 * (new + msg) if n >= ROUNDS else new
+            moved = np.abs(new - msg).max()
             msg = new
+            if moved < SETTLED:
+                break
         total = unary.copy()
         np.add.at(total, dst, msg)
         return softmax(total)
@@ -295,7 +316,9 @@ def fit(taught: list[tuple[list[int], list[int], list[int]]]) -> Field:
     k = len(LABELS)
     bits = np.array([b for x, _, _ in taught for b in x], np.int64)
     ys = [y for _, y, _ in taught for y in y]
-    pairs = np.full(3 * k * k, 0.5)
+    same = np.eye(k, dtype=bool)
+    agree = PRIOR_EDGES * np.where(same, PRIOR_AGREES / k, (1 - PRIOR_AGREES) / (k * (k - 1)))
+    pairs = np.concatenate([np.full(k * k, 0.5), agree.ravel(), agree.ravel()])
     np.add.at(pairs, np.array([e for _, _, x in taught for e in x], np.int64), 1)
     pairs = pairs.reshape(3, k, k)
     if len(set(ys)) < 2:
@@ -307,9 +330,7 @@ def fit(taught: list[tuple[list[int], list[int], list[int]]]) -> Field:
     pairs = (pairs + pairs.transpose(0, 2, 1)) / 2
     joint = pairs / pairs.sum(axis=(1, 2), keepdims=True)
     odds = np.log(joint / (joint.sum(axis=2, keepdims=True) * joint.sum(axis=1, keepdims=True)))
-    # few corpora repeat mentions often enough to fit how strongly alike ones agree, so a floor holds beside the odds
-    agree = np.where(np.eye(k, dtype=bool), 1.0, -1.0)
-    return Field(w, odds[0], AGREE * agree + np.clip(odds[1], -1, 1), 0.8 * AGREE * agree + np.clip(odds[2], -1, 1))
+    return Field(w, *odds)
 
 
 def spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -343,22 +364,23 @@ def rendered(found: list[tuple[int, int, int]]) -> str:
 
 
 def find(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """Rows (id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans); counts are of base spans."""
+    """Rows (id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans); counts by kind are of base spans."""
     shared = df.sparkSession.sparkContext.broadcast(train(df, sample, text_col, id_col))
 
     def run(batch):
-        field, counts, sha, every = shared.value, [[], [], [], []], [], []
+        field, counts, sha, every, total = shared.value, [[], [], [], []], [], [], []
         for t in batch.column(1).to_pylist():
             base, full = spans(t, field)
             for k in range(4):
                 counts[k].append(sum(x[1] == k for x in base))
             sha.append(hashlib.sha256(rendered(base).encode()).hexdigest())
             every.append(rendered(full))
+            total.append(len(full))
         out = {id_col: batch.column(0)} | {f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts)}
-        return out | {"base_sha256": pa.array(sha, pa.string()), "spans": pa.array(every, pa.string())}
+        return out | {"base_sha256": pa.array(sha, pa.string()), "spans": pa.array(every, pa.string()), "n_spans": pa.array(total, pa.int64())}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(F.col(id_col), text_of(text_col).alias("_text")), run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return arrow_map(df.select(named(id_col), text_of(text_col).alias("_text")), run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str, found: list[tuple[int, int, int]]) -> str:
@@ -374,14 +396,11 @@ def masked(text: str, found: list[tuple[int, int, int]]) -> str:
 def mask(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """`df`, all rows and columns, with the spans in its text masked."""
     shared = df.sparkSession.sparkContext.broadcast(train(df, sample, text_col, id_col))
-    names = df.columns
-    at = names.index(text_col)
+    at = df.columns.index(text_col)
 
-    def run(batches):
+    def run(cols, _):
         field = shared.value
-        for batch in batches:
-            cols = list(batch.columns)
-            cols[at] = pa.array([t and masked(t, spans(t, field)[1]) for t in cols[at].to_pylist()], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        cols[at] = pa.array([t and masked(t, spans(t, field)[1]) for t in cols[at].to_pylist()], cols[at].type)
+        return cols
 
-    return df.mapInArrow(run, df.schema)
+    return map_columns(df, df.columns, [], run)

@@ -116,8 +116,8 @@ def brute_classes(rows, n=5, least=0.8):
     return links, root
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_ngram_join(spark, odd, block):
+@pytest.mark.parametrize("options", [{}, {"block": 4}, {"block": 4, "most": 8}])
+def test_ngram_join(spark, odd, options):
     rng = random.Random(9)
     base = words(rng, 200).split()
     rows = list(odd)
@@ -125,10 +125,10 @@ def test_ngram_join(spark, odd, block):
         base = base[:]
         base[rng.randrange(200)] = f"z{n}"
         rows.append((100 + n, " ".join(base)))
-    got = sorted((str(r["doc_id"]), r["n_links"]) for r in ngram_join.classes(documents(spark, rows), block=block).collect())
+    got = ngram_join.classes(documents(spark, rows), **options).collect()
     links, root = brute_classes(rows)
-    assert got == sorted((str(i), k) for (i, _), k in zip(rows, links))
-    classes = {r["doc_id"]: r["class_id"] for r in ngram_join.classes(documents(spark, rows), block=block).collect()}
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == sorted((str(i), k) for (i, _), k in zip(rows, links))
+    classes = {r["doc_id"]: r["class_id"] for r in got}
     assert all(classes[100 + n] == 100 for n in range(40)) and classes[3] == 1 and classes[9] == 7 and classes[5] == 5
 
 
@@ -138,6 +138,8 @@ def test_ngram_keep_one(spark, odd):
     gone = {"2", "3", "9"}
     assert ids == sorted({str(i) for i, _ in odd} - gone) and kept.columns == documents(spark, []).columns
     assert ngram_join.keep_one(documents(spark, []).limit(0)).count() == 0
+    df = spark.createDataFrame([(1, "one two", "k", 5, "x"), (2, "one two", "l", 6, "y"), (3, "three", "m", 7, "z")], "doc_id long, text string, __key string, h long, `a.b` string")
+    assert sorted(map(tuple, ngram_join.keep_one(df).collect())) == [(1, "one two", "k", 5, "x"), (3, "three", "m", 7, "z")]
     b, r = ngram_join.choose_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**r) ** b >= 0.9995
 
