@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, named, remember, text_of, vocabulary_path
+from .common import arrow_map, hold, named, remember, text_of, vocabulary_path
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -195,7 +195,7 @@ class Codec:
             return data.decode("utf-8", errors="replace").encode("utf-8")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = hold(__name__, {})
 
 
 def codec(path: str) -> Codec:

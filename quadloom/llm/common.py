@@ -103,6 +103,7 @@ def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """
 
     def run(batches):
+        enter(fn.__module__)
         try:
             for batch in batches:
                 if batch.num_rows:
@@ -128,10 +129,12 @@ def map_columns(df: DataFrame, keep: list[str], extra: list[str], fn, added: dic
     def run(batch):
         return dict(zip(schema.names, fn(list(batch.columns[: len(keep)]), list(batch.columns[len(keep) :]))))
 
+    run.__module__ = fn.__module__
     return arrow_map(plain, run, schema).toDF(*keep, *added)
 
 
 _stores: dict[int, dict] = {}
+_models: dict[str, dict] = {}
 
 
 def remember(*stores: dict) -> None:
@@ -140,6 +143,21 @@ def remember(*stores: dict) -> None:
         _stores[id(d)] = d
 
 
+def hold(module: str, models: dict) -> dict:
+    """Register a module's dict of loaded models; a worker that turns to another module's work lets go of them."""
+    _models[module] = models
+    return models
+
+
+def enter(module: str) -> None:
+    """Let go of the models that other modules have loaded in this worker."""
+    others = [d for name, d in _models.items() if name != module and d]
+    for d in others:
+        d.clear()
+    if others:
+        release()
+
+
 def release() -> None:
     """Empty this worker's look-up stores and give the memory back to the system.
 
@@ -237,6 +255,23 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if row[0] * fixed + sum(n or 0 for n in row[1:]) <= most else df
 
 
+#: Bits of the map that `met` sends to every executor: 16 MB, whatever the number of keys.
+SIEVE = 1 << 27
+
+
+def sieve(df: DataFrame, hash_, keys: DataFrame, key_hash, bits: int = SIEVE):
+    """(column, frame): a condition that holds for all rows of `frame`, which is `df` with the columns it needs, whose hash is among the keys' hashes, and for few others.
+
+    The keys set bits of a map of fixed size, built from partial maps and broadcast.  Too many keys make the condition useless, not wrong.
+    """
+    place = lambda h: F.pmod(h, F.lit(bits)) + 1
+    maps = keys.select(place(key_hash).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
+    frame = df.withColumn("__p", place(hash_)).withColumn("__part", F.bitmap_bucket_number("__p")).withColumn("__p", F.bitmap_bit_position("__p"))
+    frame = frame.join(F.broadcast(maps), "__part", "left")
+    bit = F.expr("shiftright(cast(conv(hex(substring(__map, cast(__p div 8 as int) + 1, 1)), 16, 10) as int), cast(__p % 8 as int)) % 2 = 1")
+    return F.coalesce(bit, F.lit(False)), frame
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; bounded."""
 

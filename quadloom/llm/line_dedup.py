@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, arrow_map, bits, cut, map_columns, named, row_key, small, text_of, unused
+from .common import Stored, arrow_map, bits, cut, map_columns, named, row_key, sieve, small, text_of, unused
 
 MIN_WORDS = 50
 #: Words of a part of a line that goes, at least.
@@ -213,6 +213,15 @@ def _unpack(packed) -> tuple[np.ndarray, np.ndarray]:
     return x >> 32, x & 0xFFFFFFFF
 
 
+def _semi(df: DataFrame, keys: DataFrame, on: list[str], hash_) -> DataFrame:
+    """Rows of `df` whose `on` is among the keys; where the keys are too many to broadcast, rows that a map of them rules out aren't shuffled."""
+    held, names = small(keys), df.columns
+    if held is keys:
+        maybe, df = sieve(df, hash_, keys, hash_)
+        df = df.where(maybe)
+    return df.join(held, on, "left_semi").select(*names)
+
+
 def _same_row(a: DataFrame, b: DataFrame, doc: str = "doc", key: str = "key"):
     return (a[key] == b["_key"]) & a[doc].eqNullSafe(b["_doc"])
 
@@ -238,13 +247,20 @@ def _laid_out(df: DataFrame, places: DataFrame, min_words: int, text_col: str, i
 
     kind = df.schema[id_col].dataType.simpleString()
     keyed = _keyed(df, text_col, id_col)
-    joined = keyed.join(small(places), _same_row(keyed, places)).select("doc", "key", "text", "spots", "lows")
+    held = small(places)
+    if held is places:  # most texts have no such place, and need not be shuffled
+        maybe, keyed = sieve(keyed, F.col("key"), places, F.col("_key"))
+        keyed = keyed.where(maybe)
+    joined = keyed.join(held, _same_row(keyed, places)).select("doc", "key", "text", "spots", "lows")
     return arrow_map(joined, run, f"doc {kind}, key long, first int, low long, window long")
 
 
 def _later(places: DataFrame, homes: DataFrame, by: list[str], stop, min_words: int) -> DataFrame:
-    """Rows (doc, key, span) of the places that are copies of an earlier one; where they overlap it, from the end of its first window on."""
-    both = places.join(small(homes), by).where(F.struct("doc", "key", "first") > F.struct("home.doc", "home.key", "home.first"))
+    """Rows (doc, key, span) of the places that are copies of an earlier one; where they overlap it, from the end of its first window on.
+
+    Both sides grow with the corpus, so it is a shuffled join at every size; Spark splits it at a passage that very many documents share.
+    """
+    both = places.join(homes, by).where(F.struct("doc", "key", "first") > F.struct("home.doc", "home.key", "home.first"))
     own = F.col("home.doc").eqNullSafe(F.col("doc")) & (F.col("home.key") == F.col("key"))
     both = both.select("doc", "key", F.when(own, F.greatest("first", F.col("home.first") + min_words)).otherwise(F.col("first")).alias("start"), stop.alias("stop"))
     return both.where("start < stop").select("doc", "key", _pack(F.col("start"), F.col("stop")).alias("span"))
@@ -269,7 +285,7 @@ def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, text_col: str = "t
     kind = df.schema[id_col].dataType.simpleString()
     every = Stored(_all_stretches(df, min_words, text_col, id_col))
     seen = cut(every.df.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low"))
-    met = Stored(every.df.join(small(seen), "low", "left_semi").select(*every.df.columns))
+    met = Stored(_semi(every.df, seen, ["low"], F.xxhash64("low")))
     every.drop()
     # checkpointed, so that the joins are by broadcast, or ones that Spark can split at a hot passage
     here = F.struct("doc", "key", "first", "last")
@@ -326,7 +342,14 @@ def apply(df: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_
     key, of, own, held = (unused(df, n) for n in ("__key", "__of", "__doc", "__spans"))
     spans = spans.toDF(own, of, held)
     keyed = df.select(*map(named, names), row_key(id_col, text_col).alias(key))
-    joined = keyed.join(small(spans), (F.col(key) == F.col(of)) & named(id_col).eqNullSafe(F.col(own)), "left")
+    found = small(spans)
+    on = (F.col(key) == F.col(of)) & named(id_col).eqNullSafe(F.col(own))
+    if found is spans:  # texts that lose nothing need not be shuffled
+        maybe, frame = sieve(keyed.select(*map(named, names), F.col(key)), F.col(key), spans, F.col(of))
+        joined = frame.where(maybe).join(spans, on, "left").select(*map(named, names), held)
+        joined = joined.unionByName(frame.where(~maybe).select(*map(named, names), F.lit(None).cast("array<bigint>").alias(held)))
+    else:
+        joined = keyed.join(found, on, "left")
     at = names.index(text_col)
 
     def run(cols, extra):

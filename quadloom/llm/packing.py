@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, named, remember, row_key, text_of, vocabulary_path
+from .common import arrow_map, cut, hold, named, remember, row_key, text_of, vocabulary_path
 
 #: Entries of each look-up store; a full one becomes the old one, from which what is met again moves on.
 MEMORY = 120_000
@@ -117,7 +117,7 @@ def turn(store: dict, old: dict) -> None:
         store.clear()
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[str, WordTokenizer] = hold(__name__, {})
 
 
 def tokenizer(path: str) -> WordTokenizer:

@@ -56,11 +56,12 @@ def forms(word: str) -> list[str]:
 
 
 class Vocabulary(dict):
-    """word -> numbers of its terms in the space; filled as words come, and bounded."""
+    """word -> numbers of its terms in the space; filled as words come that begin as some term does, and bounded."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
         self.terms = terms
+        self.heads = {t[: min(PREFIXES)] for t in terms}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 100_000:
@@ -71,7 +72,8 @@ class Vocabulary(dict):
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of a text's terms, and how often each is there."""
         got: dict[int, int] = {}
-        for w, c in Counter(WORD.findall(text.lower())).items():
+        heads, size = self.heads, min(PREFIXES)
+        for w, c in Counter([w for w in WORD.findall(text.lower()) if w[:size] in heads]).items():
             for i in self[w]:
                 got[i] = got.get(i, 0) + c
         return np.fromiter(got, np.int64, len(got)), np.fromiter(got.values(), np.int64, len(got))

@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from quadloom.llm import line_dedup
+from pyspark.sql import functions as F
+
+from quadloom.llm import common, line_dedup
 
 from .test_text_operators import documents, words
 
@@ -86,6 +88,18 @@ def test_against_brute_force(spark):
         assert found(spark, rows, least) == brute(rows, least)
 
 
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Shuffled joins behind maps of bits give the same."""
+    monkeypatch.setattr(line_dedup, "small", lambda df: df)
+    rng = random.Random(12)
+    pool = [words(rng, 70) for _ in range(5)]
+    rows = [(n, f"{words(rng, 9, 9000)} {rng.choice(pool)}\n{rng.choice(pool)} {words(rng, 30, 9000)}" if n % 3 else words(rng, 80, 9000)) for n in range(40)]
+    assert found(spark, rows) == brute(rows)
+    hashes = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    maybe, frame = common.sieve(hashes, F.col("h"), hashes.limit(50), F.col("h"), 1 << 20)
+    assert 50 <= frame.where(maybe).count() < 60
+
+
 def test_across_line_ends(spark):
     rng = random.Random(8)
     a, b, c, d = (words(rng, 20) for _ in range(4))
