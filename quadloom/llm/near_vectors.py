@@ -1,19 +1,21 @@
 """Near-copies of embeddings by HNSW graphs per shard.
 
-Equal vectors are one node.  Nodes are dealt to shards by hash; each shard gets a hierarchical
+Equal vectors, by 128 bits of hashes, are one node.  Nodes are dealt to shards by hash; each shard gets a hierarchical
 navigable small-world graph, built in batches of growing size: a batch is searched for in the
 graph so far, its own members are compared, and neighbours are chosen so that no two stand in
-for each other.  Every unordered pair of shards is one task: the nodes of one are searched for in
-the graph of the other with beams; a beam that is full of hits is widened until it isn't, and an
-audit against brute force on a sample of the task's queries widens all beams until recall is at
-least RECALL.  Candidates are verified by cosine in doubles.  Link counts and a forest of the
+for each other.  Every unordered pair of shards is one task: the nodes of each are searched for in
+the graph of the other with beams, and what either search finds counts.  An audit against brute force, on queries in random order until AUDIT_LINKS
+true links are met (or AUDIT queries are read), widens all beams until recall is at least RECALL.  A beam that is full of hits is widened until it
+isn't; a node that fills a beam of DENSE (it lies in a large group), and all nodes where no beam below DENSE passes the audit, are
+compared with the whole shard instead, exactly.  Candidates are verified by cosine in doubles.  Link counts and a forest of the
 links leave the task, never the pairs.
 
-Shards hold SHARD nodes on average, and there are MIN_SHARDS at least, so small inputs are spread.
+Shards hold SHARD_BYTES of doubles on average, so a task's memory doesn't grow with the input; the number of tasks grows with the square of that of the shards.
 
 Defined results: vectors that are null, empty or zero, or hold a null or non-finite component, link with
 nothing and are components of their own; vectors of different lengths don't link; rows that repeat
-an id are vectors of their own; an empty table gives no rows; extra columns are ignored.
+an id are vectors of their own; equal vectors link with each other; a null id is named by no component but its own; a cosine that is the
+threshold to the last bit links; an empty table gives no rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, find
+from .common import components, cut, named, small
 
 THRESHOLD = 0.9
 RECALL = 0.995
-SHARD = 16384
-MIN_SHARDS = 4
+SHARD_BYTES = 16 << 20
 DEGREE = 24
-BEAM = 48
-AUDIT = 1024
+#: Beams of building, and of searching to begin with.
+BUILD_BEAM, BEAM = 48, 24
+DENSE = 128
+AUDIT, AUDIT_LINKS = 2048, 400
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, step: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +180,7 @@ class Graph:
         self.x, self.layers = x, layers  # (members, adjacency among them), the whole shard first
 
     @classmethod
-    def build(cls, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 11) -> "Graph":
+    def build(cls, x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, seed: int = 11) -> "Graph":
         level = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(x))) / np.log(degree / 2)).astype(int)
         layers = []
         for k in range(int(level.max(initial=0)) + 1):
@@ -216,98 +219,185 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def hits_above(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: float = RECALL, audit: int = AUDIT):
-    """Yields (query places, node places) of candidates at about `threshold` or above, in blocks of queries.
-
-    Beams are doubled for all queries until the audit passes, and for single ones while they are full of hits.
-    """
+def passing_beam(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: float) -> int:
+    """The least of the doubled beams that passes the audit, or DENSE if none below does."""
     x, n = graph.x, len(graph.x)
-    floor = threshold - 1e-4  # similarities here are in single precision; the caller verifies
-    q32 = q.astype(np.float32)
-    sample = q32[:: max(1, len(q) // audit)]
-    while True:
+    order = np.random.default_rng(5).permutation(len(q))[:AUDIT]
+    while beam < DENSE:
         right = total = 0
-        for k in range(0, len(sample), 256):
-            part = sample[k : k + 256]
+        for k in range(0, len(order), 256):
+            part = q[order[k : k + 256]]
             real = part @ x.T >= threshold + 1e-4
             ids, sims = graph.search(part, beam)
             mine = np.zeros((len(part), n + 1), bool)
-            np.put_along_axis(mine, np.where(sims >= floor, ids, n).astype(np.int64), True, 1)
-            full = sims[:, -1] >= floor
-            # what a full beam misses is found when it is widened below
-            real[full] = False
+            np.put_along_axis(mine, np.where(sims >= threshold - 1e-4, ids, n).astype(np.int64), True, 1)
+            real[(sims[:, -1] >= threshold - 1e-4) & (beam < n)] = False  # a full beam is widened anyhow
             right += int((real & mine[:, :n]).sum())
             total += int(real.sum())
-        if total == 0 or right >= recall * total or beam >= n:
-            break
+            if total >= AUDIT_LINKS:
+                break
+        if right >= recall * total:
+            return beam
         beam *= 2
+    return DENSE
+
+
+def search_all(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query places, node places) of candidates, and which queries are to be compared with all nodes; those have no candidates here."""
+    n, dense = len(graph.x), np.zeros(len(q), bool)
+    beam = passing_beam(graph, q, threshold, beam, recall)
+    if beam >= DENSE:
+        dense[:] = True
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), dense
+    at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(0, len(q), 256):
         who, wide = np.arange(k, min(k + 256, len(q))), beam
-        while len(who):
-            ids, sims = graph.search(q32[who], wide)
-            full = (sims[:, -1] >= floor) & (wide < n)
-            rows, cols = np.nonzero((sims >= floor) & ~full[:, None] & (ids < n))
-            yield who[rows], ids[rows, cols]
+        while len(who) and wide < DENSE:
+            ids, sims = graph.search(q[who], wide)
+            full = (sims[:, -1] >= threshold - 1e-4) & (wide < n)
+            rows, cols = np.nonzero((sims >= threshold - 1e-4) & ~full[:, None] & (ids < n))
+            at.append(who[rows])
+            to.append(ids[rows, cols].astype(np.int64))
             who, wide = who[full], wide * 2
+        dense[who] = True
+    return np.concatenate(at), np.concatenate(to), dense
+
+
+class Links:
+    """Link counts of the nodes of one task, and a forest of the links."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.count, self.label = weights, np.zeros(len(weights), np.int64), np.arange(len(weights))
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Count links between nodes; each link is given once."""
+        np.add.at(self.count, a, self.weights[b])
+        np.add.at(self.count, b, self.weights[a])
+        self.join(a, b)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Give both ends of all links the least label of either, until no label moves."""
+        while len(a):
+            x, y = self.label[a], self.label[b]
+            differ = x != y
+            if not differ.any():
+                return
+            a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
+            while True:  # labels of labels
+                next_ = self.label[self.label]
+                if (next_ == self.label).all():
+                    break
+                self.label = next_
+
+
+def scan(links: Links, q: np.ndarray, x: np.ndarray, at: np.ndarray, base: int, own: np.ndarray, threshold: float) -> None:
+    """Compare query places `at` of q with all of x, exactly, and count.
+
+    base: number of x's first node in `links`; own[k, j] says which of these links are counted here, as a function of places.
+    """
+    q32, x32 = q.astype(np.float32), x.astype(np.float32)
+    for k in range(0, len(at), 256):
+        who = at[k : k + 256]
+        sims = q32[who] @ x32.T
+        hit = sims >= threshold + 1e-4  # single precision is sure of these
+        rows, cols = np.nonzero(~hit & (sims >= threshold - 1e-4))
+        good = np.einsum("ij,ij->i", q[who[rows]], x[cols]) >= threshold
+        hit[rows[good], cols[good]] = True
+        hit &= own(who)
+        links.count[who] += hit @ links.weights[base : base + len(x)]
+        links.count[base : base + len(x)] += links.weights[who] @ hit
+        a, b = [], []
+        for i, row in zip(who.tolist(), hit):  # one link to each tree met is enough for the forest
+            places = np.flatnonzero(row)
+            if len(places):
+                _, first = np.unique(links.label[base + places], return_index=True)
+                a.append(np.full(len(first), i))
+                b.append(base + places[first])
+        if a:
+            links.join(np.concatenate(a), np.concatenate(b))
+
+
+def pair_links(qa: np.ndarray, ga: Graph, wa: np.ndarray, qb: np.ndarray | None, gb: Graph | None, wb: np.ndarray | None, threshold: float, beam: int, recall: float) -> Links:
+    """Links between two shards' nodes, b's numbered after a's; or within one shard, if b is None."""
+    n = len(qa)
+    if qb is None:
+        links = Links(wa)
+        i, j, dense = search_all(ga, qa.astype(np.float32), threshold, beam, recall)
+        real = (i != j) & ~dense[j]  # a link of a dense node is found by that node's scan
+        key = np.unique(np.minimum(i, j)[real] * n + np.maximum(i, j)[real])
+        i, j = key // n, key % n
+        good = np.einsum("ij,ij->i", qa[i], qa[j]) >= threshold
+        links.add(i[good], j[good])
+        every = np.arange(n)
+        scan(links, qa, qa, np.flatnonzero(dense), 0, lambda who: (every > who[:, None]) | ~dense & (every != who[:, None]), threshold)
+        return links
+    m = len(qb)
+    links = Links(np.concatenate([wa, wb]))
+    i, j, dense_a = search_all(gb, qa.astype(np.float32), threshold, beam, recall)
+    k, l, dense_b = search_all(ga, qb.astype(np.float32), threshold, beam, recall)
+    one, two = ~dense_b[j], ~dense_a[l]
+    key = np.unique(np.concatenate([i[one] * m + j[one], l[two] * m + k[two]]))
+    i, j = key // m, key % m
+    good = np.einsum("ij,ij->i", qa[i], qb[j]) >= threshold
+    links.add(i[good], n + j[good])
+    scan(links, qa, qb, np.flatnonzero(dense_a), n, lambda who: np.ones((len(who), m), bool), threshold)
+    # scanned from the other side, b's places come after a's
+    back = Links(np.concatenate([wb, wa]))
+    scan(back, qb, qa, np.flatnonzero(dense_b), m, lambda who: np.broadcast_to(~dense_a, (len(who), n)), threshold)
+    links.count += np.roll(back.count, n)
+    turn = np.concatenate([np.arange(n, n + m), np.arange(n)])
+    links.join(turn, turn[back.label])
+    return links
 
 
-def links(df: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, min_shards: int = MIN_SHARDS, beam: int = BEAM, recall: float = RECALL, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+def links(df: DataFrame, threshold: float = THRESHOLD, shard: int | None = None, beam: int = BEAM, recall: float = RECALL, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """Rows (id_col, n_links, component_id, kept), one for each row of `df`.
 
-    n_links counts the other rows linked directly, copies included; component_id is the least id reachable.
+    n_links counts the other rows linked directly, copies included; component_id is the least id reachable.  shard: nodes of a shard on average.
     """
-    v = F.col(vector_col).cast("array<double>")
+    v = named(vector_col).cast("array<double>")
     fine = F.col("v").isNotNull() & F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("v", lambda a: a != 0)
-    rows = cut(df.select(F.col(id_col).alias("id"), v.alias("v")).select("id", F.when(fine, F.xxhash64("v")).alias("node"), F.when(fine, F.col("v")).alias("v")))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("v").alias("v"))
-    nodes = cut(nodes.withColumn("width", F.size("v")))
-    shards = max(min_shards, -(-nodes.count() // shard))
-    nodes = nodes.withColumn("s", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int"))
+    rows = df.select(named(id_col).alias("id"), v.alias("v")).select("id", F.when(fine, F.xxhash64("v")).alias("h"), F.when(fine, F.xxhash64(F.lit(1), F.col("v"))).alias("h2"), F.when(fine, F.col("v")).alias("v"))
+    rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()))
+    # a node is named by the least number of the rows that hold its vector
+    same = cut(rows.where("h is not null").groupBy("h", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min("uid").alias("node")))
+    nodes = rows.select(F.col("uid").alias("node"), "v").join(small(same.select("node", "copies")), "node").withColumn("width", F.size("v"))
+    many, width = same.count(), rows.agg(F.max(F.size("v"))).first()[0] or 1
+    shards = max(1, -(-many // (shard or max(1024, SHARD_BYTES // (8 * width)))))
+    nodes = cut(nodes.withColumn("s", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        x = unit(np.array(pdf["v"].tolist(), float)).astype(np.float32)
-        return pd.DataFrame({"s": [int(pdf["s"].iloc[0])], "width": [int(pdf["width"].iloc[0])], "graph": [Graph.build(x).dump()], "nodes": [pdf["node"].to_numpy()], "copies": [pdf["copies"].to_numpy()], "vs": [np.concatenate(pdf["v"].tolist())]})
-
-    graphs = cut(nodes.groupBy("s", "width").applyInPandas(build, "s int, width int, graph binary, nodes array<long>, copies array<long>, vs array<double>"))
-
-    def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
-        if not len(left) or not len(right):
-            return empty
-        row = right.iloc[0]
-        left = left.sort_values("node")
-        same = int(left["s"].iloc[0]) == int(row["t"])
-        a, b = left["node"].to_numpy(np.int64), np.asarray(row["nodes"], np.int64)
-        wa, wb = left["copies"].to_numpy(np.int64), np.asarray(row["copies"], np.int64)
-        qa = unit(np.array(left["v"].tolist(), float))
-        qb = unit(np.asarray(row["vs"], float).reshape(len(b), -1))
-        na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        parent: dict[int, int] = {}
-        for i, j in hits_above(Graph.load(row["graph"]), qa, threshold, beam, recall):
-            if same:  # within one shard a pair belongs to its first node
-                keep = i < j
-                i, j = i[keep], j[keep]
-            good = np.einsum("ij,ij->i", qa[i], qb[j]) >= threshold
-            i, j = i[good], j[good]
-            np.add.at(na, i, wb[j])
-            np.add.at(nb, j, wa[i])
-            for p, q in zip(a[i].tolist(), b[j].tolist()):
-                p, q = find(parent, p), find(parent, q)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-        out = [(n, int(c), find(parent, n)) for ns, cs in ((a, na), (b, nb)) for n, c in zip(ns.tolist(), cs) if c]
-        return pd.DataFrame(out, columns=["node", "links", "root"]).astype("int64") if out else empty
-
-    ask = nodes.select("node", "copies", "v", "width", "s", F.explode(F.sequence(F.col("s"), F.lit(shards - 1))).alias("t"))
-    held = graphs.withColumnRenamed("s", "t").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("t"))))
-    found = cut(ask.groupBy("s", "t", "width").cogroup(held.groupBy("s", "t", "width")).applyInPandas(task, "node long, links long, root long"))
+        x = unit(np.array(pdf["v"].tolist(), float))
+        return pd.DataFrame({"s": [int(pdf["s"].iloc[0])], "width": [int(pdf["width"].iloc[0])], "graph": [Graph.build(x.astype(np.float32)).dump()], "nodes": [pdf["node"].to_numpy()], "copies": [pdf["copies"].to_numpy()], "units": [x.tobytes()]})
+
+    graphs = cut(nodes.groupBy("s", "width").applyInPandas(build, "s int, width int, graph binary, nodes array<long>, copies array<long>, units binary"))
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("own")
+        side = [(np.asarray(r.nodes, np.int64), np.asarray(r.copies, np.int64), np.frombuffer(r.units, float).reshape(len(r.nodes), -1), Graph.load(r.graph)) for r in pdf.itertuples()]
+        if len(side) == 2:
+            (a, wa, qa, ga), (b, wb, qb, gb) = side
+            found, ids = pair_links(qa, ga, wa, qb, gb, wb, threshold, beam, recall), np.concatenate([a, b])
+        elif pdf["s"].iloc[0] == pdf["t"].iloc[0]:
+            (ids, wa, qa, ga), = side
+            found = pair_links(qa, ga, wa, None, None, None, threshold, beam, recall)
+        else:  # the other shard has no vectors of this length
+            return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
+        got = np.flatnonzero(found.count)
+        return pd.DataFrame({"node": ids[got], "links": found.count[got], "root": ids[found.label[got]]})
+
+    # each shard goes to the tasks of all its pairs: (least, greatest)
+    held = graphs.select("*", F.col("s").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("t"))
+    held = held.select("graph", "nodes", "copies", "units", "width", "own", F.least("own", "t").alias("s"), F.greatest("own", "t").alias("t"))
+    found = cut(held.groupBy("s", "t", "width").applyInPandas(task, "node long, links long, root long"))
     comp = components(found.where("node <> root").select("node", "root"))
-    comp = comp.unionByName(comp.select(F.col("component").alias("id"), "component").distinct()).toDF("node", "comp")
-    count = found.groupBy("node").agg(F.sum("links").alias("links"))
-    told = nodes.select("node", "copies", "least").join(count, "node", "left").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = told.groupBy("comp").agg(F.min("least").alias("component_id"))
-    told = told.join(least, "comp").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("id", "node").join(told, "node", "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    comp = cut(comp.unionByName(comp.select(F.col("component").alias("id"), "component").distinct()).toDF("node", "comp"))
+    count = cut(found.groupBy("node").agg(F.sum("links").alias("links")))
+    told = same.join(small(count), "node", "left").join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = cut(told.groupBy("comp").agg(F.min("least").alias("component_id")))
+    told = told.join(small(least), "comp").select("h", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.select("id", "h", "h2").join(small(cut(told)), ["h", "h2"], "left")
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", named(id_col).eqNullSafe(F.col("component_id")))

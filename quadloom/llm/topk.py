@@ -1,54 +1,58 @@
 """Exact top-k search by inner product with vector-approximation files.
 
 Vectors are cut into shards of bounded size.  A shard's approximation gives each component the
-number of its cell among CELLS equal ones between the component's least and largest value there.
-A query scans the cells first: the upper ends of the cells (lower ends where the query is
-negative) bound each vector's score from above.  Then exact vectors are read in the order of
+number of its cell, a byte, among CELLS equal ones between the component's least and largest value there.
+A query scans the cells first.  A cell's upper end (lower end where the query is negative) bounds a component's part of the score from above; as cells
+are equal, the bounds of all vectors are one product of the query, scaled by the cells' widths, with the cell numbers.  Then exact vectors are read in the order of
 their bounds until the k-th score found beats every bound left.  So results are exact, ties to
 the smaller id.  Each pair of a block of queries and a shard is one task; only its k best rows a
-query leave it, and the last choice is among those.
+query leave it, and the last choice is among those.  Shards and blocks are as large as a task's memory
+allows (SHARD_BYTES, BLOCK_BYTES), since a vector is sent to each block of queries and a query to each shard.
 
-Defined results: vectors that are null or hold a null or non-finite component take no part;
+Defined results: vectors that are null or hold a null or non-finite component take no part, empty ones score nothing against each other but 0;
 vectors of other lengths than the query's aren't its candidates; a row is never its own
 candidate, but rows that repeat its id are; a null id comes after all others on ties and is
-never a query; scores beyond a long are held to its ends; extra columns are ignored.
+never a query; ids keep every digit; scores beyond a long are held to its ends; an empty table gives no rows; extra columns are ignored
+whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, named
 
-CELLS = 16
-SHARD = 8192
-QUERIES = 2048
+CELLS = 64
+SHARD_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Approximation:
     """Cells of one shard's vectors."""
 
     def __init__(self, x: np.ndarray, cells: int = CELLS):
-        self.x = x
-        low, high = x.min(axis=0), x.max(axis=0)
-        step = np.maximum((high - low) / cells, 1e-9)
-        self.cell = np.clip(np.floor((x - low) / step), 0, cells - 1).astype(np.uint8)
-        # cell ends, a little outwards so that rounding never puts a value outside of its cell
-        ends = low + step * np.arange(cells + 1)[:, None]
-        slack = 1e-9 * (1 + np.abs(ends))
-        self.low, self.high = ends[:-1] - slack[:-1], ends[1:] + slack[1:]
+        self.x, self.cells = x, cells
+        self.low, high = x.min(axis=0), x.max(axis=0)
+        self.step = np.maximum((high - self.low) / cells, 1e-9)
+        self.cell = np.clip(np.floor((x - self.low) / self.step), 0, cells - 1).astype(np.uint8)
+        self.numbers = self.cell.T.astype(np.float32)
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores of all vectors, for a block of queries."""
-        columns = np.arange(self.x.shape[1])
-        up = np.maximum(q, 0) @ self.high[self.cell, columns].T + np.minimum(q, 0) @ self.low[self.cell, columns].T
-        return up + 1e-9 * (1 + np.abs(up))
-
-    def best(self, q: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Places and exact scores of each query's k best, ties by (ids, rows); own: the query's row."""
+        part = q * self.step
+        with np.errstate(over="ignore", invalid="ignore"):
+            up = part.astype(np.float32) @ self.numbers
+            # all that rounding may take from a bound, in the sums here and where cells were numbered
+            slack = (np.abs(part) * self.cells).sum(axis=1) * (len(self.low) + 8) * 2.0**-23 + 1e-6 * (np.abs(q * self.low).sum(axis=1) + 1)
+            up = up + ((q * self.low).sum(axis=1) + np.maximum(part, 0).sum(axis=1) + slack)[:, None]
+        return np.nan_to_num(up, nan=np.inf, posinf=np.inf, neginf=np.inf)
+
+    def best(self, q: np.ndarray, k: int, own: np.ndarray, order: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and exact scores of each query's k best, ties by `order`; own: the query's row."""
         out = []
         for n, bound in enumerate(self.bounds(q)):
             bound = np.where(rows == own[n], -np.inf, bound)
@@ -58,9 +62,9 @@ class Approximation:
                 rest = np.partition(bound, len(bound) - take - 1)[len(bound) - take - 1] if take < len(bound) else -np.inf
                 part = part[bound[part] > -np.inf]
                 score = exact(self.x[part], q[n])
-                order = np.lexsort((rows[part], ids[part], -score))[:k]
-                if rest == -np.inf or len(order) == k and score[order[-1]] > rest:
-                    out.append((part[order], score[order]))
+                best = np.lexsort((order[part], -score))[:k]
+                if rest == -np.inf or len(best) == k and score[best[-1]] > rest:
+                    out.append((part[best], score[best]))
                     break
                 take = min(len(bound), take * 4)
         return out
@@ -74,13 +78,14 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
         return (x @ q).astype(np.int64)
     b = [int(v) for v in q]
     ends = np.iinfo(np.int64)
-    return np.array([min(max(sum(int(v) * w for v, w in zip(r, b)), ends.min), ends.max) for r in x], np.int64)
+    # one above the least long, so that the order of scores can be turned round
+    return np.array([min(max(sum(int(v) * w for v, w in zip(r, b)), ends.min + 1), ends.max) for r in x], np.int64)
 
 
 def quantised(df: DataFrame, vector_col: str, id_col: str, scale: int) -> DataFrame:
     """Rows (row, id, v array<double>) of the vectors that take part; v holds whole numbers."""
-    v = F.col(vector_col).cast("array<double>")
-    fine = df.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("v").isNotNull())
+    v = named(vector_col).cast("array<double>")
+    fine = df.select(named(id_col).alias("id"), v.alias("v")).where(F.col("v").isNotNull())
     fine = fine.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     return fine.select(F.monotonically_increasing_id().alias("row"), "id", F.transform("v", lambda x: _floor(x, scale)).alias("v"))
 
@@ -91,38 +96,49 @@ def _floor(x, scale: int):
     return F.when(F.abs(y) < 2.0**62, F.floor(y).cast("double")).otherwise(y)
 
 
-def search(df: DataFrame, is_query, k: int = 5, vector_col: str = "embedding", id_col: str = "vec_id", scale: int = 256, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k best of all rows for each row where `is_query` (a column of `id`) holds."""
+def _matrix(table: pa.Table) -> np.ndarray:
+    v = table.column("v").combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+
+
+def search(df: DataFrame, is_query, k: int = 5, vector_col: str = "embedding", id_col: str = "vec_id", scale: int = 256, shard: int | None = None, block: int | None = None) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the k best of all rows for each row where `is_query` (a column of `id`) holds.
+
+    shard, block: vectors of a shard and queries of a block on average.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     base = cut(quantised(df, vector_col, id_col, scale))
     asked = base.where(is_query)
-    n, m = base.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
+    (n, wide), m = base.agg(F.count("*"), F.max(F.size("v"))).first(), asked.count()
+    size = 8 * max(1, wide or 1)
+    shards, blocks = (max(1, -(-c // max(1, w))) for c, w in ((n, shard or SHARD_BYTES // size), (m, block or BLOCK_BYTES // size)))
     width = F.size("v").alias("width")
     every = base.select("row", "id", "v", width, F.pmod(F.xxhash64("row"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     ask = asked.select("row", "id", "v", width, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"))
-    schema = f"row long, query_id {kind}, vec_row long, vec_id {kind}, score long"
 
-    def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = {"row": [], "query_id": [], "vec_row": [], "vec_id": [], "score": []}
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, ids = left.column("row").to_numpy(), left.column("id").combine_chunks()
+        asks, places, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(left) and len(right):
-            d = len(left["v"].iloc[0])
-            x = np.array(left["v"].tolist(), float).reshape(len(left), d)
-            q = np.array(right["v"].tolist(), float).reshape(len(right), d)
-            rows, ids = left["row"].to_numpy(), left["id"]
-            keys = ids.fillna(np.inf).to_numpy() if ids.isna().any() else ids.to_numpy()
-            a = Approximation(x)
+            x, q, own = _matrix(left), _matrix(right), right.column("row").to_numpy()
+            order = np.empty(len(left), np.int64)
+            order[pc.sort_indices(left.select(["id", "row"]), sort_keys=[("id", "ascending"), ("row", "ascending")], null_placement="at_end").to_numpy()] = np.arange(len(left))
+            a = Approximation(x) if x.shape[1] else None
             for start in range(0, len(q), 64):
                 part = slice(start, start + 64)
-                for r, i, (at, score) in zip(right["row"].iloc[part], right["id"].iloc[part], a.best(q[part], k, right["row"].iloc[part].to_numpy(), keys, rows)):
-                    found["row"] += [r] * len(at)
-                    found["query_id"] += [i] * len(at)
-                    found["vec_row"] += rows[at].tolist()
-                    found["vec_id"] += ids.iloc[at].tolist()
-                    found["score"] += score.tolist()
-        return pd.DataFrame(found)
-
-    best = every.groupBy("s", "b", "width").cogroup(ask.groupBy("s", "b", "width")).applyInPandas(task, schema)
+                if a is None:  # vectors without components: all scores are 0
+                    best = [((at := np.argsort(np.where(rows == r, len(rows), order))[: min(k, len(rows) - 1)]), np.zeros(len(at), np.int64)) for r in own[part]]
+                else:
+                    best = a.best(q[part], k, own[part], order, rows)
+                for at, (place, score) in enumerate(best, start):
+                    asks.append(np.full(len(place), at))
+                    places.append(place)
+                    scores.append(score)
+        ask, place = pa.array(np.concatenate(asks)), pa.array(np.concatenate(places))
+        out = {"row": right.column("row").combine_chunks().take(ask), "query_id": right.column("id").combine_chunks().take(ask)}
+        return pa.table(out | {"vec_row": left.column("row").combine_chunks().take(place), "vec_id": ids.take(place), "score": pa.array(np.concatenate(scores))})
+
+    best = every.groupBy("s", "b", "width").cogroup(ask.groupBy("s", "b", "width")).applyInArrow(task, f"row long, query_id {kind}, vec_row long, vec_id {kind}, score long")
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "vec_row")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -46,6 +46,11 @@ def test_near_vectors(spark):
     by = {r["vec_id"]: r for r in got if r["vec_id"] is not None}
     assert by[519]["component_id"] == 500 and by[521]["component_id"] == 520 and by[150]["component_id"] == by[3]["component_id"]
     assert all(by[i]["n_links"] == 0 and by[i]["kept"] for i in (2000, 2001, 2002, 2003, 2004, 2005))
+    # all in one shard, and by scans alone
+    whole = {str(r["vec_id"]): r["n_links"] for r in near_vectors.links(table(spark, rows)).collect()}
+    scans = near_vectors.links(table(spark, rows), shard=300, beam=near_vectors.DENSE).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"]) for r in scans if str(r["vec_id"]) in dict(want)) == want
+    assert sum(whole[i] for i, _ in want) >= 0.99 * true
     assert near_vectors.links(table(spark, rows[:1])).collect()[0]["kept"] and near_vectors.links(table(spark, []).limit(0)).count() == 0
 
 
@@ -67,6 +72,18 @@ def test_topk(spark):
             want.setdefault((i, rank), []).append((None if none else j, -s))
     assert {k: sorted(map(str, v)) for k, v in mine.items()} == {k: sorted(map(str, v)) for k, v in want.items()}
     assert topk.search(table(spark, []).limit(0), F.col("id") % 50 == 0).count() == 0
+    # ids beyond what a double holds, beside a null one; values beyond what single precision holds
+    big = 2**53 + 1
+    rows = [(big + 49 - (big + 49) % 50, [1.0, 2.0]), (big, [1.0, 2.0]), (None, [1.0, 2.0]), (big + 2, [1e30, -1e30]), (7, [])]
+    got = topk.search(table(spark, rows), F.col("id") % 50 == 0).collect()
+    assert {r["vec_id"] for r in got} == {big, None, big + 2} and len(got) == 3 and got[0]["query_id"] % 50 == 0
+
+
+def test_bounds_hold():
+    gen = np.random.default_rng(4)
+    for scale in (1.0, 100.0, 1e6):
+        x, q = np.floor(scale * gen.normal(size=(500, 12))), np.floor(scale * gen.normal(size=(20, 12)))
+        assert (topk.Approximation(x).bounds(q) >= q @ x.T).all()
 
 
 def test_pipeline(spark, tmp_path):
