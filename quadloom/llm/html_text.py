@@ -17,9 +17,11 @@ of five words, so that near copies mostly agree too) and whose node agrees count
 Trees are sums by (host, path), so a host with very many pages costs partial sums; no host's
 pages are gathered.
 
-Defined results: null html is empty, and an empty or textless page has the empty text; a null url
-is a host of its own; unclosed, misnested and cut-off markup is read on as browsers do; repeated
-rows give repeated results; extra columns are ignored.
+Defined results: null html is empty, and an empty or textless page has the empty text; very long pages are read whole, in linear time; a null url
+is a host of its own; unclosed, misnested and cut-off markup is read on as browsers do (a quote that isn't closed takes all up to the
+next one, or to the end of the page); of nodes that tie at the bounds those at MIN_IMPORTANCE stay; repeated
+rows give repeated results; an empty table gives no rows; extra columns are kept whatever their names, but for the html and columns named
+`text` or `n_chars`, which give way to the results.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, shingles, small, text_of
+from .common import arrow_map, cut, map_columns, named, shingles, small, text_of, unused
 
 #: A node is judged when seen this often, and removed below this importance.
 MIN_SEEN = 4
@@ -41,7 +43,11 @@ MIN_IMPORTANCE = 0.2
 #: Elements open at this depth or beyond are of the path of the one around them; all else about them holds.
 PATH_DEPTH = 400
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
+# An attribute: its name, and a value in quotes (to the next quote of its kind, or the end of the page) or without.
+_NAME, _BLANK = r"[^ \t\n\f\r/>]", r"[ \t\n\f\r]*+"
+_VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?=>|\Z)|[^ \t\n\f\r>]++)"
+_ATTRIBUTES = rf"(?:[ \t\n\f\r/]++|{_NAME}[^ \t\n\f\r/>=]*+(?:{_BLANK}={_BLANK}{_VALUE})?+)*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:[!?]|/[^a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z]{_NAME}*+)({_ATTRIBUTES})(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 # Elements by their part in a page.
@@ -232,14 +238,14 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_
     """`pages` without its html, with `text` and `n_chars` (code points) added."""
     tree = style_tree(pages, html_col, url_col)
     low = tree.where((F.col("seen") >= min_seen) & (F.col("importance") < min_importance))
-    low = cut(low.groupBy("host").agg(F.collect_list("node").alias("__low")).withColumnRenamed("host", "__host"))
+    low = cut(low.groupBy("host").agg(F.collect_list("node").alias("nodes")))
+    at, own, page, held = (unused(pages, n) for n in ("__host", "__of", "__html", "__low"))
     host = F.lower(F.regexp_replace(F.regexp_extract(text_of(url_col), r"^[^/?#]*//([^/?#]*)", 1), "^.*@", ""))
-    rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    joined = pages.select(*rest, text_of(html_col).alias("__html"), host.alias("__host")).join(small(low, 100_000), "__host", "left").select(*rest, "__html", "__low")
+    rest = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
+    joined = pages.select(*map(named, rest), text_of(html_col).alias(page), host.alias(at)).join(small(low).toDF(own, held), F.col(at) == F.col(own), "left")
 
-    def run(batch):
-        n = len(rest)
-        texts = [main_text(blocks(h), set(low or ())) for h, low in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
-        return {c: batch.column(k) for k, c in enumerate(rest)} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+    def run(cols, extra):
+        texts = [main_text(blocks(h), set(low or ())) for h, low in zip(extra[0].to_pylist(), extra[1].to_pylist())]
+        return [*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
-    return arrow_map(joined, run, pages.select(*rest).schema.add("text", "string").add("n_chars", "long"))
+    return map_columns(joined, rest, [page, held], run, {"text": "string", "n_chars": "long"})

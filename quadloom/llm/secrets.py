@@ -9,8 +9,9 @@ reported; a further candidate is a span (kind `entropy`) only if it looks live.
 Values that very many documents hold are counted from distinct (value, owner) rows
 with partial sums a task; no value's places are gathered.
 
-Defined results: null text is empty; a null owner counts as one of its own; rows
-that repeat both doc_id and text get the same result and count once; extra columns are ignored.
+Defined results: null text is empty; an empty text has no spans; very long texts are read whole, in linear time; a null owner counts as one of its own; rows
+that repeat both doc_id and text get the same result and count once; spans that start together are listed by kind; an empty table gives no rows;
+extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, row_key, text_of
+from .common import arrow_map, cut, named, row_key, small, text_of
 
 KINDS = ("assign", "access", "hex")
 MAX_OWNERS = 2
@@ -93,12 +94,12 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_co
         return out | {"base_sha256": pa.array(sha, pa.string()), "cands": pa.array(cands, kind)}
 
     of = lambda c: df.schema[c].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("doc"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"), text_of(text_col).alias("text"))
+    rows = df.select(named(id_col).alias("doc"), row_key(id_col, text_col).alias("key"), F.coalesce(named(owner_col).cast("string"), F.lit("\0")).alias("owner"), text_of(text_col).alias("text"))
     rows = cut(arrow_map(rows, run, f"doc {of(id_col)}, key long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, cands array<struct<kind: int, s: long, e: long, v: long>>"))
     each = rows.where(F.size("cands") > 0).select("key", "owner", F.explode("cands").alias("c")).select("key", "owner", "c.*")
     freq = each.select("v", "owner").distinct().groupBy("v").agg(F.count("*").alias("owners"))
     wide = freq.where(F.col("owners") > max_owners).select("v", F.lit(True).alias("wide"))
-    told = each.select("key", "kind", "s", "e", "v").distinct().join(wide, "v", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    told = each.select("key", "kind", "s", "e", "v").distinct().join(small(cut(wide)), "v", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     told = told.where(~F.col("wide") | (F.col("kind") < 3)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "kind", "e", "wide"))).alias("all"))
     name = lambda x: F.element_at(F.array(*map(F.lit, names)), x["kind"] + 1)
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", name(x), x["s"], x["e"])), ",")

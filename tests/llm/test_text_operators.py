@@ -184,6 +184,75 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_quotes_and_names(spark):
+    text = lambda page: html_text.main_text(html_text.blocks(page), set())
+    assert text('<article><p>a <a href="x>link</a> b "q>c</a> d</p></article>') == "a c d"  # the value ends at the next quote
+    assert text('<p>kept</p><a href="x>lost') == "kept"  # no other quote: the page ends inside the tag
+    assert text("<p title=it's>a</p><p data-x = 'y>z' hidden>b</p><p x=>c</p></ bogus>d") == "a c d"
+    assert len(text("<p " + "a=b " * 200000 + ">x</p>" + "<i '" * 1000)) == 1
+    df = spark.createDataFrame([(1, "http://h/1", "<p>a</p>", "old", 9, "k", "l")], "page_id long, url string, html string, text string, n_chars int, __host string, `__low` string")
+    assert [r.asDict() for r in html_text.extract(df).collect()] == [{"page_id": 1, "url": "http://h/1", "__host": "k", "__low": "l", "text": "a", "n_chars": 1}]
+
+
+def test_style_tree_by_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(3)
+    pages = []
+    for n in range(40):
+        bar = "<div class=bar><p>Same bar</p>" + ("<p>now and then</p>" if n % 3 else "") + "</div>"
+        pages.append((n, f"http://h{n % 3}/x", f"<body>{bar}<div class=body>" + "".join(f"<p>{words(rng, 8)}</p>" for _ in range(rng.randrange(1, 4))) + "</div></body>"))
+    pages += [(n + 100, u, h) for n, u, h in pages[:9]]  # copies of pages count once
+    seen: dict = {}
+    for _, url, page in pages:
+        found = html_text.blocks(page)
+        nodes = {a for path, *_ in found for a in html_text.ancestors(path)}
+        rest = html_text.outside(html_text.content(found), nodes)
+        for node in nodes:
+            below = [html_text.ancestors(path) for path, *_ in found]
+            kids = [up[up.index(node) + 1] for up in below if node in up and up[-1] != node]
+            kids = tuple(k for k, before in zip(kids, [None, *kids]) if k != before)
+            texts = tuple(t for path, t, *_ in found if node in html_text.ancestors(path))
+            for kind, value in ((0, kids), (1, texts)):
+                if value:
+                    seen.setdefault((html_text.host_of(url), html_text.path_hash(node), kind), set()).add((value, rest[node]))
+    entropy = {}
+    for k, values in seen.items():
+        times = Counter(v for v, _ in values).values()
+        m = sum(times)
+        entropy[k] = 1.0 if m <= 1 else -sum(c / m * math.log(c / m) for c in times) / math.log(m)
+    want = {(h, n): (entropy.get((h, n, 0), entropy[h, n, 1]) + entropy[h, n, 1]) / 2 for h, n, k in entropy if k == 1}
+    tree = html_text.style_tree(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    got = {(r["host"], r["node"]): r["importance"] for r in tree}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and min(want.values()) < 0.2
+
+
+def test_pii_long_and_disguised(spark):
+    import time
+
+    began = time.time()
+    for t in ("x" * 10**6 + " a@b", "ab1@" * 50000, "5" * 10**6, "a [at] " + "b.-" * 200000 + "_"):
+        pii.evidence(t)
+    assert time.time() - began < 20
+    rng = random.Random(11)
+    number = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    rows = [(n, f"mail ann{n}.b@mail{n % 5}.example.com or call +1 {number()} now, order {rng.randrange(10**6, 10**7)}") for n in range(80)]
+    hidden = [f"please call {number()} or write to jo{n}.lee (at) example.org today, order {rng.randrange(10**6, 10**7)}" for n in range(40)]
+    out = {r["doc_id"]: r["spans"] for r in pii.find(documents(spark, rows + [(1000 + n, t) for n, t in enumerate(hidden)])).collect()}
+    found = [out[1000 + n] for n in range(40)]
+    assert sum("phone" in x for x in found) >= 36 and sum("email" in x for x in found) >= 36 and sum(x.count(":") for x in found) <= 2 * 2 * 40
+
+
+def test_secrets_long(spark):
+    import time
+
+    began = time.time()
+    for t in ("token" * 200000, "api_key = " * 100000, "a" * 10**6, "0a" * 500000, "AKIA" * 250000):
+        secrets.loose_spans(t, secrets.base_spans(t))
+    assert time.time() - began < 20
+
+
 def test_pii(spark):
     import re
 
