@@ -19,6 +19,9 @@ from .sources.mapping import Dataset, star_tables
 from .terms import Var
 
 
+MANY_PREDICATES = 100_000
+
+
 @dataclass
 class Engine:
     """Queries over one dataset."""
@@ -70,9 +73,12 @@ class Engine:
         report = materialize(quads, **options)
         own = self.data.quads
         inferred = cut(report.inferred)
-        predicates = {r["p"] for r in inferred.select("p").distinct().limit(100_000).collect()}
+        # which predicates there are saves scans; of too many nothing is claimed, and the quads are always read
+        names = [r["p"] for r in inferred.select("p").distinct().limit(MANY_PREDICATES + 1).collect()]
+        predicates = set(names) if len(names) <= MANY_PREDICATES else None
         if own is not None:
-            inferred, predicates = own.unionByName(inferred).distinct(), None if self.data.predicates is None else predicates | self.data.predicates
+            own = own.select("g", "s", "p", "o")
+            inferred, predicates = own.unionByName(inferred).distinct(), None if self.data.predicates is None or predicates is None else predicates | self.data.predicates
         return Engine(self.data.with_quads(inferred, predicates), self.prefixes), report
 
     def validate(self, shapes: DataFrame) -> tuple[bool, DataFrame]:
@@ -80,11 +86,25 @@ class Engine:
         return validate(self.data, shapes)
 
     def explain(self, text: str) -> str:
-        """The algebra, and the plan that Spark makes of it with its cost figures."""
+        """The algebra, an estimate for each triple pattern, and the plan that Spark makes of it with its cost figures."""
         q = self.parse(text)
         df = compiler.run_query(q, self.data)
+        costs = "\n".join(f"{t}: about {rows} rows, {size} bytes" for t, rows, size in self.estimates(q))
         plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("cost"))
-        return f"== Algebra ==\n{outline(q.pattern)}\n{plan}"
+        return f"== Algebra ==\n{outline(q.pattern)}\n== Patterns ==\n{costs}\n{plan}"
+
+    def estimates(self, q: Query) -> list[tuple[str, int, int]]:
+        """(pattern, rows, bytes) of each triple pattern by itself, as Spark's statistics of its plan have it."""
+        c = compiler.Compiler(self.data, q.base, q.froms, q.named)
+        out = []
+        for graph, t in triples(q.pattern):
+            df = c.pattern(("bgp", [t]), graph).df
+            plan = df._jdf.queryExecution().optimizedPlan()
+            size = int(str(plan.stats().sizeInBytes()))
+            row = 8 + sum(f.dataType().defaultSize() for f in plan.schema().fields())
+            rows = plan.stats().rowCount()
+            out.append((" ".join(map(str, t)), int(str(rows.get())) if rows.isDefined() else max(1, size // row), size))
+        return out
 
 
 def as_quads(data: Dataset) -> DataFrame:
@@ -93,12 +113,27 @@ def as_quads(data: Dataset) -> DataFrame:
     return f.df.select(F.lit(None).cast("string").alias("g"), iri_text(f.scope["s"]).alias("s"), iri_text(f.scope["p"]).alias("p"), to_term(f.scope["o"]).alias("o"))
 
 
+def triples(p, graph=None) -> list[tuple[object, tuple]]:
+    """(graph, triple pattern) of all triple patterns in a pattern."""
+    if p[0] == "bgp":
+        return [(graph, t) for t in p[1]]
+    if p[0] == "graph":
+        return triples(p[2], p[1])
+    if p[0] == "select":
+        return triples(p[1].pattern, graph)
+    inner = [x for x in p[1:] if isinstance(x, tuple) and x and x[0] in PATTERNS]
+    return [t for x in inner for t in triples(x, graph)]
+
+
+PATTERNS = ("unit", "bgp", "join", "optional", "union", "minus", "filter", "extend", "values", "graph", "select")
+
+
 def outline(p, depth: int = 0) -> str:
     """A pattern as an indented tree."""
     pad = "  " * depth
     if p[0] == "bgp":
         return "\n".join([f"{pad}bgp", *[f"{pad}  {s} {o} {t}" for s, o, t in p[1]]])
-    inner = [x for x in p[1:] if isinstance(x, tuple) and x and x[0] in ("unit", "bgp", "join", "optional", "union", "minus", "filter", "extend", "values", "graph", "select")]
+    inner = [x for x in p[1:] if isinstance(x, tuple) and x and x[0] in PATTERNS]
     own = [str(x) for x in p[1:] if x not in inner and not isinstance(x, Query)]
     lines = [f"{pad}{p[0]} {' '.join(own)}".rstrip()]
     if p[0] == "select":

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import BOOLEAN, DECIMAL, DOUBLE, FLOAT, INTEGER, STRING
 from ..lineage import cut
+from .paths import closure
 from ..terms import INTEGERS, LANG_STRING, NUMERICS, OWL, RDF, RDFS, XSD
 
 PREFIXES = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "xsd": XSD, "q": "urn:quadloom:"}
@@ -168,36 +169,55 @@ def _match(t: DataFrame, pattern: tuple) -> DataFrame:
     return t.select(*[c.alias(v) for v, c in cols.items()]) if cols else t.select(F.lit(1).alias("?one")).limit(1)
 
 
-def _body(parts: list[DataFrame], rule: Rule) -> DataFrame:
-    whole = parts[0]
-    rest = parts[1:]
+#: Rows of a pattern of the vocabulary that are sent to every executor rather than shuffled.
+FEW = 100_000
+
+
+def _body(parts: list[DataFrame], rule: Rule, counts: list[int | None]) -> DataFrame:
+    """Join of a rule's patterns; counts: rows of each if known, so that small ones are broadcast."""
+    few = lambda n: n is not None and n <= FEW
+    whole, size = parts[0], counts[0]
+    rest = list(zip(parts[1:], counts[1:]))
     while rest:  # a pattern that shares a variable next, so that no product is formed
-        n = next((n for n, p in enumerate(rest) if set(p.columns) & set(whole.columns)), 0)
-        p = rest.pop(n)
+        n = next((n for n, (p, _) in enumerate(rest) if set(p.columns) & set(whole.columns)), 0)
+        p, many = rest.pop(n)
         on = [c for c in p.columns if c in whole.columns]
+        whole, p = F.broadcast(whole) if few(size) else whole, F.broadcast(p) if few(many) else p
         whole = whole.join(p, on) if on else whole.crossJoin(p)
+        size = size * many if few(size) and few(many) and size * many <= FEW else None
     if rule.unequal:
         whole = whole.where(F.col(f"`{rule.unequal[0]}`") != F.col(f"`{rule.unequal[1]}`"))
     return whole
 
 
 class Vocabulary:
-    """What words of the rules the triples use: predicates, and classes of rdf:type."""
+    """What words of the rules the triples use, and how often: predicates, and classes of rdf:type; and whether they hold numbers."""
 
     def __init__(self, t: DataFrame, rules: list[Rule]):
-        words = sorted({x for r in rules for b in r.body for x in b if x[0] != "?" and ":" in x} | {OWL + "hasKey", OWL + "propertyChainAxiom"})
-        pairs = t.where(F.col("p").isin(words)).select("p", F.when((F.col("p") == RDF + "type") & F.col("o").isin(words), F.col("o")).alias("o")).distinct().collect()
-        self.predicates = {r["p"] for r in pairs}
-        self.classes = {r["o"] for r in pairs if r["o"]}
+        words = sorted({x for r in rules for b in r.body for x in b if x[0] != "?" and ":" in x} | {OWL + "hasKey", OWL + "propertyChainAxiom", RDF + "first", RDF + "rest"})
+        known = F.when(F.col("p").isin(words), F.col("p"))
+        cls = F.when((F.col("p") == RDF + "type") & F.col("o").isin(words), F.col("o"))
+        number = F.coalesce(F.regexp_extract("o", LITERAL, 2).isin(*NUMERICS) & F.col("o").startswith('"'), F.lit(False))
+        rows = t.select(known.alias("p"), cls.alias("o"), number.alias("number")).where("p is not null or number").groupBy("p", "o", "number").agg(F.count("*").alias("n")).collect()
+        self.predicates: dict[str, int] = {}
+        self.classes: dict[str, int] = {}
+        self.numbers = any(r["number"] for r in rows)
+        for r in rows:
+            if r["p"]:
+                self.predicates[r["p"]] = self.predicates.get(r["p"], 0) + r["n"]
+            if r["o"]:
+                self.classes[r["o"]] = self.classes.get(r["o"], 0) + r["n"]
 
     def copy(self) -> "Vocabulary":
         out = Vocabulary.__new__(Vocabulary)
-        out.predicates, out.classes = set(self.predicates), set(self.classes)
+        out.predicates, out.classes, out.numbers = dict(self.predicates), dict(self.classes), self.numbers
         return out
 
     def add(self, other: "Vocabulary") -> None:
-        self.predicates |= other.predicates
-        self.classes |= other.classes
+        for mine, more in ((self.predicates, other.predicates), (self.classes, other.classes)):
+            for w, n in more.items():
+                mine[w] = mine.get(w, 0) + n
+        self.numbers |= other.numbers
 
     def may(self, pattern: tuple) -> bool:
         _, p, o = pattern
@@ -210,6 +230,13 @@ class Vocabulary:
     def may_all(self, rule: Rule) -> bool:
         return all(self.may(b) for b in rule.body)
 
+    def count(self, pattern: tuple) -> int | None:
+        """Rows that fit a pattern at most, if the vocabulary tells."""
+        _, p, o = pattern
+        if p == MEMBER or p[0] == "?":
+            return None
+        return self.classes.get(o, 0) if p == RDF + "type" and o[0] != "?" else self.predicates.get(p, 0)
+
 
 def lists(t: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Members of all RDF lists: rows (l, pos, m)."""
@@ -228,23 +255,31 @@ def lists(t: DataFrame, rounds: int = 10_000) -> DataFrame:
     raise RuntimeError("a list doesn't end")
 
 
-def _list_rules(t: DataFrame, members: DataFrame, vocabulary: Vocabulary) -> list[DataFrame]:
-    """Rules that need a whole list: intersections, keys and property chains."""
+def member_triples(members: DataFrame) -> DataFrame:
+    return members.select(F.col("l").alias("s"), F.lit(MEMBER).alias("p"), F.col("m").alias("o")).distinct()
+
+
+def _list_rules(t: DataFrame, delta: DataFrame, members: DataFrame, vocabulary: Vocabulary) -> list[DataFrame]:
+    """Rules that need a whole list: intersections, keys and property chains; only for subjects of new triples, or chains with a new step."""
     out = []
     size = members.groupBy("l").agg(F.count("*").alias("size"))
     pick = lambda p, a, b: t.where(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b))
+    touched = delta.select(F.col("s").alias("x")).distinct()
     if OWL + "intersectionOf" in vocabulary.predicates:
         want = pick(OWL + "intersectionOf", "c", "l").join(members, "l")
-        got = want.join(pick(RDF + "type", "x", "m"), "m").groupBy("c", "l", "x").agg(F.count_distinct("pos").alias("have"))
+        got = want.join(pick(RDF + "type", "x", "m").join(touched, "x", "left_semi"), "m").groupBy("c", "l", "x").agg(F.count_distinct("pos").alias("have"))
         out.append(got.join(size, "l").where("have = size").select(F.col("x").alias("s"), F.lit(RDF + "type").alias("p"), F.col("c").alias("o")))
     if OWL + "hasKey" in vocabulary.predicates:
         keyed = pick(OWL + "hasKey", "c", "l").join(members, "l").join(pick(RDF + "type", "x", "c"), "c")
         values = keyed.join(t.select(F.col("s").alias("x"), F.col("p").alias("m"), F.col("o").alias("v")), ["x", "m"]).select("c", "l", "pos", "x", "v").distinct()
-        pairs = values.join(values.withColumnRenamed("x", "y"), ["c", "l", "pos", "v"]).where("x <> y").groupBy("c", "l", "x", "y").agg(F.count_distinct("pos").alias("have"))
-        out.append(pairs.join(size, "l").where("have = size").select(F.col("x").alias("s"), F.lit(OWL + "sameAs").alias("p"), F.col("y").alias("o")))
+        new = values.join(touched, "x", "left_semi")
+        pairs = new.join(values.withColumnRenamed("x", "y"), ["c", "l", "pos", "v"]).where("x <> y").groupBy("c", "l", "x", "y").agg(F.count_distinct("pos").alias("have"))
+        out.append(pairs.join(size, "l").where("have = size").select(F.explode(F.array(F.struct(F.col("x").alias("s"), F.col("y").alias("o")), F.struct(F.col("y").alias("s"), F.col("x").alias("o")))).alias("e")).select("e.s", F.lit(OWL + "sameAs").alias("p"), "e.o"))
     if OWL + "propertyChainAxiom" in vocabulary.predicates:
         axioms = pick(OWL + "propertyChainAxiom", "q", "l")
         steps = axioms.join(members, "l")
+        if delta.join(steps.select(F.col("m").alias("p")).distinct(), "p", "left_semi").isEmpty():
+            return out
         longest = steps.agg(F.max("pos")).first()[0]
         edges = t.select(F.col("s").alias("a"), F.col("p").alias("m"), F.col("o").alias("b"))
         walk = steps.where("pos = 0").join(edges, "m").select("q", "l", "a", "b")
@@ -259,12 +294,18 @@ def _ended(walk: DataFrame, size: DataFrame, k: int) -> DataFrame:
     return walk.join(size.where(F.col("size") == k), "l").select(F.col("a").alias("s"), F.col("q").alias("p"), F.col("b").alias("o"))
 
 
-def literal_values(t: DataFrame) -> DataFrame:
-    """dt-eq: triples whose number is written another way elsewhere, with that other way."""
-    lit = t.where(F.col("o").startswith('"')).select("s", "p", "o", F.regexp_extract("o", LITERAL, 1).alias("v"), F.regexp_extract("o", LITERAL, 2).alias("dt"))
-    num = lit.where(F.col("dt").isin(*NUMERICS)).withColumn("n", F.col("v").try_cast("double")).where("n is not null")
-    forms = num.select("n", F.col("o").alias("other")).distinct()
-    return num.join(forms, "n").where("o <> other").select("s", "p", F.col("other").alias("o"))
+def literal_values(t: DataFrame, new: DataFrame) -> DataFrame:
+    """dt-eq: triples whose number is written another way elsewhere, with that other way; either of them among the new ones."""
+
+    def numbers(df: DataFrame) -> DataFrame:
+        lit = df.where(F.col("o").startswith('"')).select("s", "p", "o", F.regexp_extract("o", LITERAL, 1).alias("v"), F.regexp_extract("o", LITERAL, 2).alias("dt"))
+        return lit.where(F.col("dt").isin(*NUMERICS)).withColumn("n", F.col("v").try_cast("double")).where("n is not null")
+
+    forms = lambda df: numbers(df).select("n", F.col("o").alias("other")).distinct()
+    met = numbers(new).join(forms(t), "n")
+    if new is not t:
+        met = met.unionByName(numbers(t).join(forms(new), "n"))
+    return met.where("o <> other").select("s", "p", F.col("other").alias("o"))
 
 
 def ill_typed(t: DataFrame) -> DataFrame:
@@ -322,13 +363,26 @@ def materialize(quads: DataFrame, mode: str = "forward", max_rounds: int = 64, m
         return Report(blank(base.limit(0)), 0, False, False, [], 0)
     began = time.monotonic()
     start = base.unionByName(axioms(spark)).distinct() if seed_axioms else base
-    members = lists(base)
-    work = start.unionByName(members.select(F.col("l").alias("s"), F.lit(MEMBER).alias("p"), F.col("m").alias("o")).distinct())
-    work = cut(work)
     rules = parse_rules(RULES)
     contradictions = parse_rules(CONTRADICTIONS)
-    known, delta, rounds, late = work, work, 0, False
-    fresh = Vocabulary(known, rules + contradictions)
+    fresh = Vocabulary(start, rules + contradictions)
+    known, members = start, None
+    if RDF + "first" in fresh.predicates:
+        members = lists(base)
+        known = known.unionByName(member_triples(members))
+    # the hierarchies first, by paths of doubling length, so that they cost a few rounds however deep they are
+    for p in (RDFS + "subClassOf", RDFS + "subPropertyOf"):
+        if p in fresh.predicates:
+            try:
+                pairs = closure(known.where(F.col("p") == p).select("s", "o"), rounds=max_rounds)
+            except RuntimeError:  # the rounds below end early as well
+                continue
+            known = known.unionByName(pairs.select("s", F.lit(p).alias("p"), "o").join(known.where(F.col("p") == p), ["s", "p", "o"], "left_anti"))
+            fresh.predicates[p] = pairs.count()
+    known = cut(known)
+    delta, rounds, late = known, 0, False
+    if members is not None:
+        fresh.predicates[MEMBER] = 1
     seen = fresh.copy()
     while True:
         if rounds >= max_rounds or max_seconds is not None and time.monotonic() - began > max_seconds:
@@ -341,12 +395,17 @@ def materialize(quads: DataFrame, mode: str = "forward", max_rounds: int = 64, m
             for n, b in enumerate(r.body):
                 if not fresh.may(b) or rounds == 0 and n:  # in the first round all is new, so once is enough
                     continue
-                got = _body([_match(delta if k == n else known, x) for k, x in enumerate(r.body)], r)
+                counts = [(fresh if k == n else seen).count(x) for k, x in enumerate(r.body)]
+                got = _body([_match(delta if k == n else known, x) for k, x in enumerate(r.body)], r, counts)
                 for h in r.head:
                     made.append(got.select(*[(F.col(f"`{x}`") if x[0] == "?" else F.lit(x)).alias(c) for c, x in zip(("s", "p", "o"), h)]))
-        made += _list_rules(known, members, seen)
-        if rounds == 0:
-            made.append(literal_values(known))
+        if members is not None:
+            made += _list_rules(known, delta, members, seen)
+        if fresh.numbers:
+            made.append(literal_values(known, delta))
+        if rounds and (RDF + "first" in fresh.predicates or RDF + "rest" in fresh.predicates):  # lists that the rules have made or lengthened
+            members = lists(known)
+            made.append(member_triples(members))
         if not made:
             break
         every = made[0]
@@ -360,8 +419,10 @@ def materialize(quads: DataFrame, mode: str = "forward", max_rounds: int = 64, m
             break
         known = cut(known.unionByName(delta))
         fresh = Vocabulary(delta, rules + contradictions)
+        if members is not None:
+            fresh.predicates[MEMBER] = 1
         seen.add(fresh)
-    found = [r.name for r in contradictions if seen.may_all(r) and not _body([_match(known, b) for b in r.body], r).isEmpty()]
+    found = [r.name for r in contradictions if seen.may_all(r) and not _body([_match(known, b) for b in r.body], r, [seen.count(b) for b in r.body]).isEmpty()]
     if not ill_typed(known).isEmpty():
         found.append("dt-not-type")
     added = known.where(F.col("p") != MEMBER).join(start, ["s", "p", "o"], "left_anti")

@@ -8,6 +8,7 @@ a table stay native keys: joins run on them, and IRI strings are made in the las
 from __future__ import annotations
 
 import itertools
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,11 +18,13 @@ from ..functions import geo
 from ..functions.expressions import Expressions, effective
 from ..functions.values import BOOL, DBL, DEC, DECIMAL, DOUBLE, FLOAT, FULL_IRI, INT, INTEGER, NATIVE, NODE, RANK, STR, STRING, TERM, TERM_SCHEMA, Type, Value, cast_to, common, constant, iri_text, language, lexical_of, lit_type, null, number, rank_of, same_term, sort_key, text, to_term
 from ..operators.paths import closure
-from ..sources.mapping import Dataset, TableMap
-from ..terms import GEO, NUMERICS, RDF_TYPE, Blank, Iri, Literal, QueryError, Var
+from ..sources.mapping import PART, Dataset, TableMap, part_of
+from ..terms import GEO, LANG_STRING, NUMERICS, RDF_TYPE, Blank, Iri, Literal, QueryError, Var
 from .parser import Query, expression_variables, variables, visible
 
 _names = itertools.count(1)
+#: Rows of VALUES that are written into the plan one by one.
+MANY_ROWS = 64
 
 
 def fresh() -> str:
@@ -111,6 +114,8 @@ class Compiler:
         if kind == "select":
             q = p[1]
             return self.select(q, graph)
+        if kind == "frame":
+            return p[1]
         raise QueryError(f"unknown pattern {kind}")
 
     def expressions(self, f: Frame) -> Expressions:
@@ -194,6 +199,8 @@ class Compiler:
         pairs = [(graph, Value(F.col("g"), FULL_IRI, False))] if isinstance(graph, Var) else []
         if isinstance(p, Iri):
             df = df.where(F.col("p") == p.value)
+            if PART in df.columns:  # quads kept in folders by predicate: the others aren't read
+                df = df.where(F.col(PART) == part_of(F.lit(p.value)))
         else:
             pairs.append((p, Value(F.col("p"), FULL_IRI, False)))
         return self._bind(df, [*pairs, (s, Value(F.col("s"), NODE, False)), (o, Value(F.col("o"), TERM, False))])
@@ -394,24 +401,70 @@ class Compiler:
     def optional(self, a: Frame, right, condition, graph) -> Frame:
         b = self.pattern(right, graph)
         shared = [v for v in a.scope if v in b.scope]
+        maybe = [v for v in shared if a.scope[v].nullable or b.scope[v].nullable]
         extra = None
         if condition is not None:
-            both = Frame(a.df, b.scope | a.scope)
-            extra = Expressions(self._merged(a, b, shared, False) if any(a.scope[v].nullable for v in shared) else both.scope, self.base).condition(condition)
-        return self._loose(a, b, shared, "left_outer", extra)
+            extra = Expressions(self._merged(a, b, shared, False) if maybe else b.scope | a.scope, self.base).condition(condition)
+        if not maybe or len(maybe) > 2:
+            return self._loose(a, b, shared, "left_outer", extra)
+        # split by what is bound: the rows that meet, and those that meet none
+        met = self._split(a, b, shared, maybe)
+        if condition is not None:
+            met = met.where(self.expressions(met).condition(condition))
+        return self.union([met, self.existence(a, b, True, extra)])
 
     def minus(self, a: Frame, b: Frame) -> Frame:
+        return self.existence(a, b, True, overlap=True) if set(a.scope) & set(b.scope) else a
+
+    def existence(self, a: Frame, b: Frame, negated: bool, extra: Column | None = None, overlap: bool = False) -> Frame:
+        """Rows of `a` with a compatible row in `b`, or without one.
+
+        extra: a condition on both rows; overlap: a variable must be bound on both sides.  Rows are
+        parted by which of the variables are bound, so that each join is on keys.
+        """
         shared = [v for v in a.scope if v in b.scope]
-        if not shared:
-            return a
-        on = self._compatible(a, b, shared)
-        if all(a.scope[v].nullable or b.scope[v].nullable for v in shared):
-            some = None  # at least one variable must be bound on both sides
-            for v in shared:
-                t = a.scope[v].col.isNotNull() & b.scope[v].col.isNotNull()
-                some = t if some is None else some | t
-            on = on & some
-        return Frame(a.df.join(b.df, on, "left_anti"), a.scope)
+        how = ["left_semi", "left_anti"]
+        if sum(a.scope[v].nullable or b.scope[v].nullable for v in shared) > 2:
+            on = self._compatible(a, b, shared)
+            if extra is not None:
+                on = on & extra
+            if overlap and all(a.scope[v].nullable or b.scope[v].nullable for v in shared):
+                some = F.lit(False)
+                for v in shared:
+                    some = some | (a.scope[v].col.isNotNull() & b.scope[v].col.isNotNull())
+                on = on & some
+            return Frame(a.df.join(b.df, on, how[negated]), a.scope)
+        out: list[DataFrame] = []
+        for gone_a, left in self._bound_parts(a, shared):
+            rest = left
+            for gone_b, right in self._bound_parts(b, shared):
+                keys = [v for v in shared if v not in gone_a and v not in gone_b]
+                tests = [self._equal(a.scope[v], b.scope[v]) for v in keys]
+                if any(t is None for t in tests) or overlap and not keys:
+                    continue  # never equal, or nothing in common
+                on = extra
+                for t in tests:
+                    on = t if on is None else on & t
+                if on is None:  # nothing to compare: all rows or none
+                    on, right = F.lit(True), right.limit(1).select(F.lit(1).alias(fresh()))
+                if not negated:
+                    out.append(rest.join(right, on, "left_semi"))
+                rest = rest.join(right, on, "left_anti")
+            if negated:
+                out.append(rest)
+        df = out[0] if out else a.df.limit(0)
+        for d in out[1:]:
+            df = df.unionByName(d)
+        return Frame(df, a.scope)
+
+    def _bound_parts(self, f: Frame, names: list[str]) -> list[tuple[set[str], DataFrame]]:
+        """Disjoint parts of a frame's rows, each with the variables among `names` that are unbound in it."""
+        parts: list[tuple[set[str], DataFrame]] = [(set(), f.df)]
+        for v in names:
+            x = f.scope[v]
+            if x.nullable:
+                parts = [p for gone, df in parts for p in ((gone, df.where(x.col.isNotNull())), (gone | {v}, df.where(x.col.isNull())))]
+        return parts
 
     def union(self, frames: list[Frame]) -> Frame:
         if len(frames) == 1:
@@ -444,6 +497,8 @@ class Compiler:
         """Inline data, made in the JVM."""
         if not rows:
             return self.nothing(names)
+        if len(rows) > MANY_ROWS and names:
+            return self._many_values(names, rows)
         cols = []
         kinds = {}
         for n, v in enumerate(names):
@@ -457,6 +512,26 @@ class Compiler:
         df = self.data.spark.range(1).select(F.inline(F.array(*cols)))
         return Frame(df).select({v: Value(F.col(f"x{n}"), kinds[v][0], kinds[v][1]) for n, v in enumerate(names)})
 
+    def _many_values(self, names: list[str], rows: list[list]) -> Frame:
+        """Many rows as one text constant, so that the plan doesn't grow with them; their terms are structs."""
+        from ..sources.rdf_io import canonical
+
+        def cell(t):
+            if isinstance(t, Literal):
+                return {"kind": "literal", "v": t.value, "dt": LANG_STRING if t.lang else t.datatype, "lang": t.lang and t.lang.lower()}
+            return t and {"kind": "iri", "v": t.value, "dt": None, "lang": None}
+
+        text = json.dumps([{f"x{n}": cell(t) for n, t in enumerate(r)} for r in rows])
+        shape = "array<struct<" + ",".join(f"x{n}:struct<kind:string,v:string,dt:string,lang:string>" for n in range(len(names))) + ">>"
+        df = self.data.spark.range(1).select(F.inline(F.from_json(F.lit(text), shape)))
+        out = {}
+        for n, v in enumerate(names):
+            x = F.col(f"x{n}")
+            value, dt = canonical(x["v"], x["dt"])
+            lit = F.struct(x["kind"].alias("kind"), value.alias("v"), dt.alias("dt"), x["lang"].alias("lang"))
+            out[v] = Value(F.when(x["kind"] == "literal", lit).otherwise(x), TERM, any(r[n] is None for r in rows))
+        return Frame(df).select(out)
+
     # -- filters and EXISTS
     def filter(self, f: Frame, e, graph) -> Frame:
         if e[0] == "op" and e[1] == "&&":
@@ -473,30 +548,54 @@ class Compiler:
 
     def _inner(self, f: Frame, p, graph) -> tuple[Frame, object]:
         """Pattern of an EXISTS and the part of its filter that looks at outer variables."""
-        if p[0] == "filter" and (expression_variables(p[1]) - variables(p[2])) & set(f.scope):
-            return self.pattern(p[2], graph), p[1]
-        return self.pattern(p, graph), None
+        if p[0] == "filter" and (expression_variables(p[1]) - variables(p[2])) & set(f.scope) and not mentioned(p[1]) - expression_variables(p[1]):
+            return self.pattern(self.correlate(p[2], f), graph), p[1]
+        return self.pattern(self.correlate(p, f), graph), None
+
+    def correlate(self, p, f: Frame):
+        """The pattern of an EXISTS with the outer solutions joined to each group whose expressions look at them, at any depth."""
+
+        def bring(names: set[str], inner):
+            """The outer values of `names`, and of what `inner` shares with them, beside `inner`."""
+            names = names & set(f.scope)
+            if not names:
+                return inner
+            g = f.select({v: f.scope[v] for v in sorted(names | variables(inner) & set(f.scope))})
+            return ("join", ("frame", Frame(g.df.distinct(), g.scope)), inner)
+
+        kind = p[0]
+        if kind == "filter":
+            return ("filter", p[1], bring(mentioned(p[1]) - variables(p[2]), self.correlate(p[2], f)))
+        if kind == "extend":
+            return ("extend", bring(mentioned(p[3]) - variables(p[1]), self.correlate(p[1], f)), p[2], p[3])
+        if kind == "optional":
+            left, right = self.correlate(p[1], f), self.correlate(p[2], f)
+            return ("optional", bring(mentioned(p[3]) - variables(p[1]) - variables(p[2]), left) if p[3] is not None else left, right, p[3])
+        if kind in ("join", "union", "minus"):
+            return (kind, self.correlate(p[1], f), self.correlate(p[2], f))
+        if kind == "graph":
+            return (kind, p[1], self.correlate(p[2], f))
+        return p
 
     def exists(self, f: Frame, p, negated: bool, graph) -> Frame:
         inner, outer = self._inner(f, p, graph)
         shared = [v for v in f.scope if v in inner.scope]
-        on = self._compatible(f, inner, shared)
+        maybe = any(f.scope[v].nullable or inner.scope[v].nullable for v in shared)
+        extra = None
         if outer is not None:
-            extra = Expressions(inner.scope | f.scope, self.base).condition(outer)
-            on = extra if on is None else on & extra
-        if on is None:  # nothing shared: all rows or none
-            one = inner.df.limit(1).select(F.lit(1).alias("one"))
-            return Frame(f.df.join(one, F.lit(True), "left_anti" if negated else "left_semi"), f.scope)
-        return Frame(f.df.join(inner.df, on, "left_anti" if negated else "left_semi"), f.scope)
+            extra = Expressions(self._merged(f, inner, shared, False) if maybe else inner.scope | f.scope, self.base).condition(outer)
+        return self.existence(f, inner, negated, extra)
 
     def marked(self, f: Frame, e, graph):
         """EXISTS deep inside an expression: a marker column for each, and the expression over those."""
         if not isinstance(e, tuple) or e[0] not in ("op", "call", "exists"):
             return f, e
         if e[0] == "exists":
+            # rows that meet the pattern, by their values; equal rows meet it alike
             row = fresh()
             base = Frame(f.df.withColumn(row, F.struct(*[to_term(x) for _, x in sorted(f.scope.items())]) if f.scope else F.lit(1)), f.scope)
-            met = self.exists(base, e[1], False, graph).df.select(F.col(row).alias(row + "m")).distinct()
+            once = Frame(base.df.dropDuplicates([row]) if f.scope else base.df, f.scope)
+            met = self.exists(once, e[1], False, graph).df.select(F.col(row).alias(row + "m")).distinct()
             df = base.df.join(met, F.col(row).eqNullSafe(F.col(row + "m")), "left_outer")
             v = "_e" + row
             scope = f.scope | {v: Value(F.col(row + "m").isNull() if e[2] else F.col(row + "m").isNotNull(), BOOL, False)}
@@ -542,9 +641,9 @@ class Compiler:
         g = graph if isinstance(graph, Var) else None
         a, b = Var("_s"), Var("_o")
         step = self.path(a, p[1], b, graph)
-        if g is not None:
-            raise QueryError("a closure within GRAPH with a variable needs the graph's name")
         x, y = step.scope["_s"], step.scope["_o"]
+        if g is not None:
+            return self._reach_by_graph(s, p, o, g, step)
         native = x.type == y.type and x.type.kind == "iri" and p[0] == "plus"
         kind = x.type if native else TERM
         edges = step.df.select(cast_to(x, kind).alias("s"), cast_to(y, kind).alias("o"))
@@ -576,6 +675,18 @@ class Compiler:
             pairs = pairs.select(F.col("o").alias("s"), F.col("s").alias("o"))
         return self._bind(pairs.distinct(), [(s, Value(F.col("s"), kind, False)), (o, Value(F.col("o"), kind, False))])
 
+    def _reach_by_graph(self, s, p, o, g: Var, step: Frame) -> Frame:
+        """p+, p* and p? within each named graph; a node is one of its graph."""
+        node = lambda f, x: F.struct(iri_text(f.scope[g.name]).alias("g"), to_term(x).alias("x"))
+        pairs = step.df.select(node(step, step.scope["_s"]).alias("s"), node(step, step.scope["_o"]).alias("o"))
+        pairs = pairs if p[0] == "maybe" else closure(pairs)
+        if p[0] != "plus":
+            f = self.any_predicate(Var("_s"), Var("_q"), Var("_o"), g)
+            nodes = f.df.select(F.explode(F.array(node(f, f.scope["_s"]), node(f, f.scope["_o"]))).alias("s"))
+            pairs = pairs.unionByName(nodes.select("s", F.col("s").alias("o")))
+        pairs = pairs.select(F.col("s.g").alias("g"), F.col("s.x").alias("s"), F.col("o.x").alias("o")).distinct()
+        return self._bind(pairs, [(g, Value(F.col("g"), FULL_IRI, False)), (s, Value(F.col("s"), TERM, False)), (o, Value(F.col("o"), TERM, False))])
+
     def nodes(self, graph, near: list[Type] | None = None) -> DataFrame:
         """All subjects and objects of the graph, as terms; with `near`, only subjects of such types."""
         if near:
@@ -723,6 +834,28 @@ class Compiler:
         return F.when(good, F.struct(F.lit("literal").alias("kind"), v.alias("v"), dt.alias("dt"), F.lit(None).cast("string").alias("lang"))), TERM
 
 
+def mentioned(e) -> set[str]:
+    """All variables of an expression, those of the patterns of its EXISTS too."""
+    if not isinstance(e, tuple):
+        return set()
+    if e[0] == "exists":
+        return _in_pattern(e[1])
+    if e[0] in ("op", "call"):
+        return set().union(*[mentioned(x) for x in e[2]]) if e[2] else set()
+    return expression_variables(e)
+
+
+def _in_pattern(p) -> set[str]:
+    out = variables(p)
+    if p[0] == "filter":
+        return out | mentioned(p[1]) | _in_pattern(p[2])
+    if p[0] == "extend":
+        return out | mentioned(p[3]) | _in_pattern(p[1])
+    if p[0] in ("join", "union", "minus", "optional"):
+        return out | _in_pattern(p[1]) | _in_pattern(p[2]) | (mentioned(p[3]) if p[0] == "optional" and p[3] is not None else set())
+    return out | _in_pattern(p[2]) if p[0] == "graph" else out
+
+
 def _freeze(e):
     return repr(e)
 

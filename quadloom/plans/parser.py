@@ -88,6 +88,8 @@ def variables(pattern) -> set[str]:
     if kind == "select":
         q = pattern[1]
         return {v for v, _ in q.select} if q.select is not None else visible(q.pattern)
+    if kind == "frame":
+        return set(pattern[1].scope)
     return set()
 
 

@@ -15,6 +15,13 @@ from ..functions.values import BOOL, DBL, DEC, INT, STR, WHEN, TERM, Type, Value
 from ..terms import LANG_STRING, XSD
 
 NAMESPACE = "urn:tpch:"
+#: Column, and number of the folders, by which a store keeps quads by predicate.
+PART, PARTS = "part", 64
+
+
+def part_of(p: Column) -> Column:
+    """Folder of a predicate."""
+    return F.pmod(F.xxhash64(p), F.lit(PARTS)).cast("int")
 
 
 @dataclass

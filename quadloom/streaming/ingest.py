@@ -15,10 +15,15 @@ def quad_stream(spark: SparkSession, path: str, quads: bool = False, strict: boo
     return parse_lines(lines, quads, strict)
 
 
-def into_store(stream: DataFrame, store: Store, checkpoint: str, **trigger):
-    """Write a quad stream to a store: each batch is one commit, and a batch run twice changes nothing."""
+def into_store(stream: DataFrame, store: Store, checkpoint: str, volatile: bool = False, **trigger):
+    """Write a quad stream to a store: each batch is one version that adds what is new, and a batch run twice changes nothing.
+
+    The store must have a path, since the stream's checkpoint remembers what the store was given; `volatile` allows one in memory.
+    """
+    if not store.path and not volatile:
+        raise ValueError("a stream's store must be kept in files")
 
     def commit(batch: DataFrame, _: int) -> None:
-        store.commit(store.at().unionByName(batch.select(*COLUMNS)))
+        store.insert(batch.select(*COLUMNS))
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
