@@ -55,7 +55,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_html, op4_near_vectors, op5_line_dedup, op6_topk, op7_pii, op8_bpe, op9_secrets, op10_ngram_join)}
+#: White space, as Python's split() has it, inside a class.
+_WS = r"\s\v\x1c-\x1f\x{85}\p{Z}"
 ORACLES: dict[str, str] = {
+    "op5_line_dedup": rf"""
+        WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ln FROM documents),
+        parts AS (SELECT *, regexp_extract_all(line, '[^{_WS}]+[{_WS}]*') AS ps, regexp_extract(line, '^[{_WS}]*') AS lead FROM lines),
+        counted AS (SELECT *, len(ps) AS k, coalesce(sum(len(ps)) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM parts),
+        toks AS (SELECT doc_id, ln, base + i - 1 AS w, ps[i] AS tok, regexp_extract(ps[i], '^[^{_WS}]+') AS word FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM counted)),
+        whole AS (SELECT doc_id, list(word ORDER BY w) AS ws FROM toks GROUP BY 1),
+        wins AS (SELECT doc_id, i - 1 AS a, array_to_string(ws[i:i + 49], ' ') AS c FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM whole WHERE len(ws) >= 50)),
+        homes AS (SELECT c, min(struct_pack(d := doc_id, a := a)) AS h FROM wins GROUP BY c HAVING count(*) > 1),
+        later AS (SELECT doc_id, CASE WHEN h.d = doc_id THEN greatest(wins.a, h.a + 50) ELSE wins.a END AS start, wins.a + 50 AS stop FROM wins JOIN homes USING (c) WHERE h.d <> doc_id OR h.a <> wins.a),
+        spans AS (SELECT doc_id, start, max(stop) AS stop FROM later WHERE start < stop GROUP BY 1, 2),
+        cover AS (SELECT t.*, coalesce(max(s.stop) OVER (PARTITION BY t.doc_id ORDER BY t.w), 0) AS reach FROM toks t LEFT JOIN spans s ON s.doc_id = t.doc_id AND s.start = t.w),
+        isles AS (SELECT *, reach > w AS gone, row_number() OVER (PARTITION BY doc_id, ln ORDER BY w) - row_number() OVER (PARTITION BY doc_id, ln, reach > w ORDER BY w) AS isle FROM cover),
+        runs AS (SELECT *, gone AND count(*) OVER (PARTITION BY doc_id, ln, gone, isle) >= 3 AS cut FROM isles),
+        full_ AS (SELECT doc_id, ln, bool_and(gone) AS all_gone, bool_or(cut) AS cut, string_agg(tok, '' ORDER BY w) FILTER (NOT cut) AS body FROM runs GROUP BY 1, 2),
+        told AS (SELECT c.doc_id, c.ln, coalesce(f.all_gone, p.reach > c.base, false) AS removed,
+                 CASE WHEN f.cut THEN regexp_replace(c.lead || coalesce(f.body, ''), '[{_WS}]+$', '') ELSE c.line END AS line
+                 FROM counted c LEFT JOIN full_ f ON f.doc_id = c.doc_id AND f.ln = c.ln LEFT JOIN cover p ON c.k = 0 AND p.doc_id = c.doc_id AND p.w = c.base - 1),
+        out_ AS (SELECT doc_id, count(*) FILTER (removed) AS lines_removed, coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT removed), '') AS text FROM told GROUP BY 1)
+        SELECT doc_id, lines_removed, length(text) AS n_chars, sha256(text) AS text_sha256 FROM out_""",
     "op6_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

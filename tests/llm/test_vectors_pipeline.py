@@ -86,29 +86,85 @@ def test_bounds_hold():
         assert (topk.Approximation(x).bounds(q) >= q @ x.T).all()
 
 
-def test_pipeline(spark, tmp_path):
+def stages(spark, docs, folder, sf_dir):
+    """What each stage was given and gave, each read from its file."""
     import corpus_pipeline
 
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns = docs.columns
-    toxic = set()
+    out = []
     for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs
-        docs = stage(spark, docs, d)
-        docs.write.parquet(str(tmp_path / str(n)))
-        docs = spark.read.parquet(str(tmp_path / str(n)))
-        if n < 4:
-            assert docs.columns == columns
-            assert docs.where("n_chars <> char_length(text)").count() == 0 or n == 0
-        if name == "toxicity":
-            labels = pq.read_table(f"{d}/labels.parquet").to_pandas()
-            toxic = set(labels[labels.toxic == 1].doc_id)
-            left = {r[0] for r in docs.select("doc_id").collect()}
-            assert len(toxic & left) < 0.7 * len(toxic) and len(left) > 150
-        if name == "PII":
-            assert docs.where(r"text rlike '[a-z0-9]@mail[0-9]+\\.example\\.com'").count() == 0
-        if n == 4:
-            assert {r[0] for r in docs.select("doc_id").collect()} == {r[0] for r in before.select("doc_id").collect()}
-    run = corpus_pipeline.run(spark, d)
-    assert sorted(run.columns) == sorted(docs.columns) and run.count() == docs.count()
+        stage(spark, docs, sf_dir).write.parquet(str(folder / str(n)))
+        then = spark.read.parquet(str(folder / str(n)))
+        out.append((name, docs, then))
+        docs = then
+    return out
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage on all that the stage before it kept, against a plain version of what it promises."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from quadloom.llm import pii, toxicity
+    from quadloom.llm.common import vocabulary_path
+
+    from .test_line_dedup import brute
+    from .test_text_operators import brute_classes
+
+    d = "/root/testdata/sf0.001"
+    done = {name: (before, after) for name, before, after in stages(spark, spark.read.parquet(f"{d}/documents.parquet"), tmp_path, d)}
+    assert list(done) == ["toxicity", "line dedup", "n-gram Jaccard join", "PII", "best-fit packing"]
+    text = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    for name in list(done)[:4]:
+        before, after = done[name]
+        assert after.columns == before.columns
+        if name != "toxicity":
+            assert after.where("n_chars <> char_length(text)").count() == 0
+
+    before, after = done["toxicity"]
+    index = toxicity.train(before, spark.read.parquet(f"{d}/labels.parquet"))
+    assert text(after) == {i: t for i, t in text(before).items() if index.score(t or "")[0] < 0.5}
+    labels = pq.read_table(f"{d}/labels.parquet").to_pandas()
+    held = {i for i in set(labels.doc_id) if zlib.crc32(str(i).encode()) % 5 == 0}
+    clean = set(labels[labels.toxic == 0].doc_id) & held
+    assert len(clean & set(text(after))) >= 0.9 * len(clean & set(text(before)))
+
+    before, after = done["line dedup"]
+    want = brute(sorted(text(before).items()))
+    assert text(after) == {i: t for i, (t, gone) in want.items() if t.split() or not gone}
+
+    before, after = done["n-gram Jaccard join"]
+    rows = sorted(text(before).items())
+    _, root = brute_classes(rows)
+    least = {}
+    for (i, t), r in zip(rows, root):
+        least.setdefault(r if (t or "").split() else ("bare", i), i)
+    assert sorted(text(after)) == sorted(least.values())
+
+    before, after = done["PII"]
+    got = text(after)
+    for i, t in text(before).items():
+        assert not pii.base_spans(got[i])
+        if not pii.mentions(t, pii.base_spans(t)):
+            assert got[i] == t
+
+    before, after = done["best-fit packing"]
+    t = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    sizes = {}
+    for r in after.collect():
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["length"]
+    assert sizes == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in text(before).items()}
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, d).count() == after.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    rows = [(1, None, None, None, None, "a", 1), (None, "plain text here", "en", "s", 15, "b", 2), (2, "", "en", None, 0, None, 3), (3, " \n ", "de", "s", 3, "c", None), (4, "one two three", "en", "s", 13, "d", 4), (4, "one two three", "en", "s", 13, "d", 4), (5, "word " * 60000, "en", "s", 300000, "e", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __key string, lines_removed int")
+    d = "/root/testdata/sf0.001"
+    *first, (_, before, packed) = stages(spark, docs, tmp_path / "odd", d)
+    kept = sorted((str(r["doc_id"]), r["text"] if r["doc_id"] != 5 else r["text"].split().count("word"), r["__key"]) for r in before.collect())
+    assert kept == sorted([("1", None, "a"), ("None", "plain text here", "b"), ("2", "", None), ("3", " \n ", "c"), ("4", "one two three", "d"), ("5", 50, "e")], key=lambda r: (r[0], str(r[1])))
+    assert sorted(str(r["doc_id"]) for r in packed.collect()) == ["1", "2", "3", "4", "5", "None"]
+    assert [after.count() for _, _, after in stages(spark, docs.limit(0), tmp_path / "none", d)] == [0] * 5
