@@ -301,10 +301,11 @@ def literal_values(t: DataFrame, new: DataFrame) -> DataFrame:
         lit = df.where(F.col("o").startswith('"')).select("s", "p", "o", F.regexp_extract("o", LITERAL, 1).alias("v"), F.regexp_extract("o", LITERAL, 2).alias("dt"))
         return lit.where(F.col("dt").isin(*NUMERICS)).withColumn("n", F.col("v").try_cast("double")).where("n is not null")
 
-    forms = lambda df: numbers(df).select("n", F.col("o").alias("other")).distinct()
-    met = numbers(new).join(forms(t), "n")
+    # most numbers are written in one way, and go no further than this count
+    forms = numbers(t).groupBy("n").agg(F.collect_set("o").alias("others"), F.count_distinct("o").alias("k")).where("k > 1").select("n", F.explode("others").alias("other"))
+    met = numbers(new).join(forms, "n")
     if new is not t:
-        met = met.unionByName(numbers(t).join(forms(new), "n"))
+        met = met.unionByName(numbers(t).join(forms, "n").join(numbers(new).select("n").distinct(), "n", "left_semi"))
     return met.where("o <> other").select("s", "p", F.col("other").alias("o"))
 
 

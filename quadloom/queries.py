@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from .engine import Engine, as_quads, tables_engine
 from .operators import semantic
 from .operators.reasoner import materialize
 from .sources.mapping import Dataset
-from .sources.rdf_io import results_json, statement
+from .lineage import shared_folder
+from .sources.rdf_io import load_rdf, results_json, statement
 from .store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,13 +174,9 @@ def registered(oracle: str | None = None):
     return take
 
 
-def part_of(spark: SparkSession, sf_dir: str, *names: str, keep: tuple[str, ...] | None = None) -> Dataset:
-    """Some tables of the mapping, and if wanted only some predicates."""
-    data = tables_engine(spark, sf_dir).data
-    maps = [m for m in data.maps if m.name in names]
-    if keep is not None:
-        maps = [type(m)(m.name, m.df, m.subject, m.cls, {p: v for p, v in m.columns.items() if p.split(":")[-1] in keep}, m.graph) for m in maps]
-    return Dataset(spark, maps)
+def part_of(spark: SparkSession, sf_dir: str, *names: str) -> Dataset:
+    """Some tables of the mapping, whole."""
+    return Dataset(spark, [m for m in tables_engine(spark, sf_dir).data.maps if m.name in names])
 
 
 def statements(spark: SparkSession, text: str) -> DataFrame:
@@ -197,14 +195,14 @@ TURTLE = "@prefix t: <urn:tpch:> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-
 
 @registered("SELECT c_custkey AS c FROM customer")
 def infer_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = part_of(spark, sf_dir, "customer", keep=("c_nation",)).with_quads(statements(spark, TURTLE + "t:c_nation rdfs:domain t:Located ."))
+    data = part_of(spark, sf_dir, "customer").with_quads(statements(spark, TURTLE + "t:c_nation rdfs:domain t:Located ."))
     engine, _ = Engine(data, {"t": "urn:tpch:"}).infer()
     return key("c")(engine.query("SELECT ?c { ?c a t:Located }"))
 
 
 @registered("SELECT 'urn:tpch:customer/' || c_custkey AS x FROM customer UNION ALL SELECT 'urn:tpch:supplier/' || s_suppkey FROM supplier")
 def infer_subclass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = part_of(spark, sf_dir, "customer", "supplier", keep=()).with_quads(statements(spark, TURTLE + "t:Customer rdfs:subClassOf t:Party . t:Supplier rdfs:subClassOf t:Party ."))
+    data = part_of(spark, sf_dir, "customer", "supplier").with_quads(statements(spark, TURTLE + "t:Customer rdfs:subClassOf t:Party . t:Supplier rdfs:subClassOf t:Party ."))
     engine, _ = Engine(data, {"t": "urn:tpch:"}).infer()
     return engine.query("SELECT ?x { ?x a t:Party }")
 
@@ -212,7 +210,7 @@ def infer_subclass(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1")
 def infer_inverse_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """owl:inverseOf over a foreign key."""
-    data = part_of(spark, sf_dir, "nation", keep=("n_region",)).with_quads(statements(spark, TURTLE + "t:n_region owl:inverseOf t:hasNation ."))
+    data = part_of(spark, sf_dir, "nation").with_quads(statements(spark, TURTLE + "t:n_region owl:inverseOf t:hasNation ."))
     engine, _ = Engine(data, {"t": "urn:tpch:"}).infer()
     return key("r")(engine.query("SELECT ?r (COUNT(?n) AS ?n2) { ?r t:hasNation ?n } GROUP BY ?r")).select(F.col("r").cast("int").alias("r"), F.col("n2").alias("n"))
 
@@ -247,7 +245,7 @@ def shacl_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT CASE WHEN o_orderstatus='F' THEN 'X' ELSE o_orderstatus END AS s, count(*) AS n FROM orders GROUP BY 1")
 def update_delete_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Store(spark, as_quads(part_of(spark, sf_dir, "orders", keep=("o_orderstatus",))))
+    store = Store(spark, as_quads(part_of(spark, sf_dir, "orders")))
     store.update('DELETE { ?o t:o_orderstatus "F" } INSERT { ?o t:o_orderstatus "X" } WHERE { ?o t:o_orderstatus "F" }', {"t": "urn:tpch:"})
     df = Engine(store.dataset(), {"t": "urn:tpch:"}).query("SELECT ?s (COUNT(?o) AS ?n) { ?o t:o_orderstatus ?s } GROUP BY ?s")
     return df.withColumn("s", F.col("s.v"))
@@ -255,24 +253,27 @@ def update_delete_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT 'urn:x:b' AS g, count(*) AS n FROM nation")
 def update_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Store(spark, as_quads(part_of(spark, sf_dir, "nation", keep=("n_name",))))
+    store = Store(spark, as_quads(part_of(spark, sf_dir, "nation")))
     store.update("INSERT { GRAPH <urn:x:a> { ?n t:n_name ?v } } WHERE { ?n t:n_name ?v } ; COPY <urn:x:a> TO <urn:x:b> ; DROP GRAPH <urn:x:a> ; CLEAR DEFAULT", {"t": "urn:tpch:"})
     return Engine(store.dataset()).query("SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g")
 
 
 @registered("SELECT count(*) AS now, (SELECT count(*) FROM region) AS before FROM region WHERE r_regionkey > 1")
 def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Store(spark, as_quads(part_of(spark, sf_dir, "region", keep=("r_name", "r_regionkey"))))
+    store = Store(spark, as_quads(part_of(spark, sf_dir, "region")))
     first = store.pin()
     store.update("DELETE { ?r ?p ?o } WHERE { ?r t:r_regionkey ?k ; ?p ?o FILTER(?k <= 1) }", {"t": "urn:tpch:"})
     count = lambda v: Engine(store.dataset(v), {"t": "urn:tpch:"}).query("SELECT (COUNT(*) AS ?n) { ?r t:r_name ?x }")
     return count(None).withColumnRenamed("n", "now").crossJoin(count(first).withColumnRenamed("n", "before"))
 
 
-@registered("SELECT '<urn:tpch:region/' || r_regionkey || '> <urn:tpch:r_name> \"' || r_name || '\" .' AS line FROM region")
+@registered("""WITH c AS (SELECT '<urn:tpch:customer/' || c_custkey || '> <' AS s, * FROM customer), x AS (SELECT '>' AS e, '"^^<http://www.w3.org/2001/XMLSchema#integer> .' AS i)
+    SELECT s || 'urn:tpch:c_name> "' || c_name || '" .' AS line FROM c UNION ALL SELECT s || 'urn:tpch:c_mktsegment> "' || c_mktsegment || '" .' FROM c UNION ALL SELECT s || 'urn:tpch:c_nation> <urn:tpch:nation/' || c_nationkey || '> .' FROM c
+    UNION ALL SELECT s || 'urn:tpch:c_custkey> "' || c_custkey || i FROM c, x UNION ALL SELECT s || 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <urn:tpch:Customer> .' FROM c""")
 def write_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quads = as_quads(part_of(spark, sf_dir, "region", keep=("r_name",))).where(F.col("p") == "urn:tpch:r_name")
-    return quads.select(statement(False).alias("line"))
+    """All statements of the table but those of its one double, whose lexical form SQL writes otherwise (read_ntriples has it)."""
+    quads = as_quads(part_of(spark, sf_dir, "customer"))
+    return quads.where(F.col("p") != "urn:tpch:c_acctbal").select(statement(False).alias("line"))
 
 
 @registered("""SELECT '{"k":{"type":"literal","value":"' || r_regionkey || '","datatype":"http://www.w3.org/2001/XMLSchema#integer"},"n":{"type":"literal","value":"' || r_name || '"}}' AS binding FROM region""")
@@ -300,3 +301,114 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, as_quads(part_of(spark, sf_dir, "region", "nation")))
     return store.statistics().select(*[F.col(c).cast("int").alias(c) for c in ("quads", "subjects", "predicates")])
+
+
+# -- joins over unbound variables, correlated EXISTS, closures in graphs
+sparql("count_all", "SELECT (COUNT(*) AS ?n) { ?s ?p ?o . ?s a t:Region }", "SELECT 3 * count(*) AS n FROM region")
+sparql("optional_chain", "SELECT ?l ?q ?t { ?d t:d_lang ?l OPTIONAL { ?d t:quality ?q } OPTIONAL { ?d t:quality ?q ; t:toxic ?t } }", "SELECT d.lang AS l, b.quality::BIGINT AS q, b.toxic::BIGINT AS t FROM documents d LEFT JOIN labels b ON d.doc_id=b.doc_id")
+sparql("minus_unbound", "SELECT ?d { { ?d t:d_lang ?l OPTIONAL { ?d t:toxic ?q } } MINUS { ?d t:d_source 'src0' . ?d t:toxic ?q } }", "SELECT d.doc_id AS d FROM documents d LEFT JOIN labels b ON d.doc_id=b.doc_id WHERE NOT (d.source='src0' AND b.toxic IS NOT NULL)", key("d"))
+sparql("exists_nested", "SELECT ?c { ?c t:c_acctbal ?b ; t:c_nation ?n FILTER EXISTS { { ?s t:s_nation ?n ; t:s_acctbal ?x FILTER(?x > ?b) } UNION { ?s t:s_nation ?n ; t:s_suppkey ?x FILTER(?x = ?b) } } }", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey=c_nationkey AND (s_acctbal>c_acctbal OR s_suppkey=c_acctbal))", key("c"))
+sparql("graph_closure", "SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?c t:c_nation+ ?x } } GROUP BY ?g", "SELECT 'urn:tpch:g/region-' || n_regionkey AS g, count(*) AS n FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1")
+
+
+# -- files (A1-A4, A9, A10): a whole table written out and read back
+def read_back(name: str, fmt: str, graph: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/rdf-{uuid.uuid4().hex}"
+        quads = as_quads(part_of(spark, sf_dir, "customer")).withColumn("g", F.lit(graph).cast("string"))
+        quads.select(statement(graph is not None).alias("value")).write.text(path)
+        data = Dataset(spark, [], load_rdf(spark, path, fmt))
+        inner = "?c t:c_name ?n ; t:c_acctbal ?b ; t:c_nation ?x"
+        text = f"GRAPH <{graph}> {{ {inner} }}" if graph else inner
+        df = Engine(data, {"t": "urn:tpch:"}).query(f"SELECT ?n ?b ?x {{ {text} }}")
+        return df.select(F.col("n.v").alias("n"), F.col("b.v").cast("double").alias("b"), F.col("x.v").alias("x"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = "SELECT c_name AS n, c_acctbal AS b, 'urn:tpch:nation/' || c_nationkey AS x FROM customer"
+
+
+read_back("read_ntriples", "ntriples")
+read_back("read_nquads", "nquads", "urn:x:g")
+read_back("read_turtle", "turtle")
+read_back("read_trig", "trig")
+
+
+# -- updates over whole tables
+def updated(name: str, tables: tuple[str, ...], request: str, query: str, oracle: str, after: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store(spark, as_quads(part_of(spark, sf_dir, *tables)))
+        store.update(request, {"t": "urn:tpch:"})
+        df = Engine(store.dataset(), {"t": "urn:tpch:"}).query(query)
+        return after(df) if after else df
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = oracle
+
+
+BY_GRAPH = "SELECT ?g ?p (COUNT(*) AS ?n) { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g ?p"
+updated("update_data", ("region", "nation"), 'INSERT DATA { <urn:tpch:nation/0> t:note "x" . <urn:tpch:nation/1> t:note "y" } ; DELETE DATA { <urn:tpch:nation/1> t:note "y" . <urn:tpch:region/0> t:r_name "AFRICA" . <urn:none> t:note "x" }', "SELECT ?p (COUNT(*) AS ?n) { ?s ?p ?o } GROUP BY ?p",
+        "SELECT 'urn:tpch:note' AS p, 1 AS n UNION ALL SELECT 'urn:tpch:r_name', count(*) FROM region WHERE r_name<>'AFRICA' UNION ALL SELECT 'urn:tpch:r_regionkey', count(*) FROM region UNION ALL SELECT unnest(['urn:tpch:n_name','urn:tpch:n_nationkey','urn:tpch:n_region']), count(*) FROM nation UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation)")
+updated("update_delete_where", ("customer",), 'DELETE WHERE { ?c t:c_mktsegment "BUILDING" ; t:c_acctbal ?b }', "SELECT ?p (COUNT(*) AS ?n) { ?c ?p ?o FILTER(?p IN (t:c_mktsegment, t:c_acctbal, t:c_name)) } GROUP BY ?p",
+        "SELECT unnest(['urn:tpch:c_mktsegment','urn:tpch:c_acctbal']) AS p, count(*) AS n FROM customer WHERE c_mktsegment<>'BUILDING' UNION ALL SELECT 'urn:tpch:c_name', count(*) FROM customer")
+updated("update_with_using", ("orders",), "INSERT { GRAPH <urn:x:a> { ?o t:o_orderstatus ?v } } WHERE { ?o t:o_orderstatus ?v } ; WITH <urn:x:a> DELETE { ?o t:o_orderstatus ?v } INSERT { ?o t:state ?v } WHERE { ?o t:o_orderstatus ?v FILTER(?v != 'O') } ; INSERT { GRAPH <urn:x:b> { ?o t:copy ?v } } USING <urn:x:a> WHERE { ?o t:state ?v }", BY_GRAPH,
+        "SELECT 'urn:x:a' AS g, 'urn:tpch:o_orderstatus' AS p, count(*) AS n FROM orders WHERE o_orderstatus='O' UNION ALL SELECT 'urn:x:a', 'urn:tpch:state', count(*) FROM orders WHERE o_orderstatus<>'O' UNION ALL SELECT 'urn:x:b', 'urn:tpch:copy', count(*) FROM orders WHERE o_orderstatus<>'O'")
+updated("update_add_move_load", ("supplier",), "CREATE GRAPH <urn:x:n> ; ADD DEFAULT TO <urn:x:a> ; MOVE <urn:x:a> TO <urn:x:b> ; LOAD <urn:x:b> INTO GRAPH <urn:x:c> ; ADD SILENT <urn:x:none> TO <urn:x:c>", "SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g", "SELECT unnest(['urn:x:b','urn:x:c']) AS g, 5 * count(*) AS n FROM supplier")
+
+
+# -- shapes (V2-V18): results by component
+def shapes(name: str, tables: tuple[str, ...], target: str, body: str, oracle: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _, rows = Engine(part_of(spark, sf_dir, *tables)).validate(statements(spark, TURTLE + f"t:S a sh:NodeShape ; {target} ; {body} ."))
+        return rows.groupBy(F.regexp_extract("component", "#(.*)ConstraintComponent", 1).alias("component")).agg(F.count("*").alias("n"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = "SELECT component, n FROM (" + oracle + ") WHERE n > 0"
+
+
+def told(component: str, table: str, where: str) -> str:
+    return f"SELECT '{component}' AS component, count(*) AS n FROM {table} WHERE {where}"
+
+
+shapes("shacl_class_kind", ("customer", "nation"), "sh:targetClass t:Customer", "sh:property [ sh:path t:c_nation ; sh:class t:Region ; sh:nodeKind sh:Literal ]", " UNION ALL ".join(told(c, "customer", "true") for c in ("Class", "NodeKind")))
+shapes("shacl_lengths", ("part",), "sh:targetClass t:Part", "sh:property [ sh:path t:p_name ; sh:minLength 11 ; sh:maxLength 12 ]", told("MinLength", "part", "length(p_name)<11") + " UNION ALL " + told("MaxLength", "part", "length(p_name)>12"))
+shapes("shacl_bounds", ("orders",), "sh:targetSubjectsOf t:o_totalprice", "sh:property [ sh:path t:o_totalprice ; sh:minExclusive 20000 ; sh:maxExclusive 100000 ; sh:maxInclusive 150000 ]", " UNION ALL ".join(told(c, "orders", w) for c, w in (("MinExclusive", "o_totalprice<=20000"), ("MaxExclusive", "o_totalprice>=100000"), ("MaxInclusive", "o_totalprice>150000"))))
+shapes("shacl_pairs", ("part",), "sh:targetClass t:Part", "sh:property [ sh:path t:p_size ; sh:lessThan t:p_partkey ; sh:lessThanOrEquals t:p_partkey ; sh:disjoint t:p_partkey ]", " UNION ALL ".join(told(c, "part", w) for c, w in (("LessThan", "p_size>=p_partkey"), ("LessThanOrEquals", "p_size>p_partkey"), ("Disjoint", "p_size=p_partkey"))))
+shapes("shacl_logic", ("customer",), "sh:targetClass t:Customer", "sh:or ( [ sh:property [ sh:path t:c_acctbal ; sh:minInclusive 0 ] ] [ sh:property [ sh:path t:c_mktsegment ; sh:hasValue 'BUILDING' ] ] ) ; sh:not [ sh:property [ sh:path t:c_mktsegment ; sh:hasValue 'MACHINERY' ] ] ; sh:and ( [ sh:property [ sh:path t:c_acctbal ; sh:maxInclusive 5000 ] ] [ sh:property [ sh:path t:c_name ; sh:minCount 1 ] ] ) ; sh:xone ( [ sh:property [ sh:path t:c_acctbal ; sh:minInclusive 0 ] ] [ sh:property [ sh:path t:c_mktsegment ; sh:hasValue 'BUILDING' ] ] )",
+       " UNION ALL ".join(told(c, "customer", w) for c, w in (("Or", "c_acctbal<0 AND c_mktsegment<>'BUILDING'"), ("Not", "c_mktsegment='MACHINERY'"), ("And", "c_acctbal>5000"), ("Xone", "(c_acctbal>=0) = (c_mktsegment='BUILDING')"))))
+shapes("shacl_closed", ("supplier",), "sh:targetClass t:Supplier", "sh:closed true ; sh:ignoredProperties ( <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> t:s_suppkey ) ; sh:property [ sh:path t:s_name ]", "SELECT 'Closed' AS component, 2 * count(*) AS n FROM supplier")
+shapes("shacl_languages", ("documents",), "sh:targetClass t:Document", "sh:property [ sh:path t:d_ltext ; sh:languageIn ( 'en' 'de' ) ; sh:uniqueLang true ]", told("LanguageIn", "documents", "lang NOT IN ('en','de')"))
+shapes("shacl_paths", ("customer", "nation"), "sh:targetClass t:Nation", "sh:property [ sh:path [ sh:inversePath t:c_nation ] ; sh:maxCount 5 ]", "SELECT 'MaxCount' AS component, count(*) AS n FROM (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*)>5)")
+shapes("shacl_sequence", ("customer", "nation"), "sh:targetClass t:Customer", "sh:property [ sh:path ( t:c_nation t:n_region ) ; sh:hasValue <urn:tpch:region/1> ]", told("HasValue", "customer JOIN nation ON c_nationkey=n_nationkey", "n_regionkey<>1"))
+shapes("shacl_qualified", ("customer", "nation"), "sh:targetClass t:Nation", "sh:property [ sh:path [ sh:inversePath t:c_nation ] ; sh:qualifiedValueShape [ sh:property [ sh:path t:c_mktsegment ; sh:hasValue 'BUILDING' ] ] ; sh:qualifiedMinCount 2 ]", "SELECT 'QualifiedMinCount' AS component, count(*) AS n FROM nation WHERE (SELECT count(*) FROM customer WHERE c_nationkey=n_nationkey AND c_mktsegment='BUILDING')<2")
+shapes("shacl_node", ("customer", "nation"), "sh:targetObjectsOf t:c_nation", "sh:node [ sh:property [ sh:path t:n_region ; sh:in ( <urn:tpch:region/0> <urn:tpch:region/1> ) ] ]", told("Node", "nation", "n_regionkey NOT IN (0,1) AND n_nationkey IN (SELECT c_nationkey FROM customer)"))
+
+
+# -- rules over whole tables
+def inferred(name: str, tables: tuple[str, ...], ontology: str, query: str, oracle: str, after: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = part_of(spark, sf_dir, *tables).with_quads(statements(spark, TURTLE + ontology))
+        engine, _ = Engine(data, {"t": "urn:tpch:"}).infer()
+        df = engine.query(query)
+        return after(df) if after else df
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = oracle
+
+
+inferred("infer_hierarchies", ("orders",), "t:o_orderstatus rdfs:subPropertyOf t:state . t:state rdfs:subPropertyOf t:fact . t:o_customer rdfs:range t:Buyer ; owl:equivalentProperty t:buyer . t:Order rdfs:subClassOf t:Doc . t:Doc rdfs:subClassOf t:Thing .", "SELECT ?p (COUNT(*) AS ?n) { ?s ?p ?o FILTER(?p IN (t:state, t:fact, t:buyer)) } GROUP BY ?p", "SELECT unnest(['urn:tpch:state','urn:tpch:fact','urn:tpch:buyer']) AS p, count(*) AS n FROM orders")
+inferred("infer_ranges", ("orders", "customer"), "t:o_customer rdfs:range t:Buyer . t:Buyer rdfs:subClassOf t:Party .", "SELECT ?c { ?c a t:Party }", "SELECT DISTINCT o_custkey AS c FROM orders", key("c"))
+inferred("infer_lines", ("lineitem",), "t:R owl:someValuesFrom owl:Thing ; owl:onProperty t:l_part . t:H owl:hasValue 'R' ; owl:onProperty t:l_returnflag . t:U owl:unionOf ( t:H t:None ) . t:I owl:intersectionOf ( t:R t:H ) .", "SELECT ?c (COUNT(*) AS ?n) { ?l a ?c FILTER(?c IN (t:R, t:H, t:U, t:I)) } GROUP BY ?c",
+         "SELECT 'urn:tpch:R' AS c, count(*) AS n FROM lineitem UNION ALL SELECT unnest(['urn:tpch:H','urn:tpch:U','urn:tpch:I']), count(*) FROM lineitem WHERE l_returnflag='R'", lambda df: df.withColumn("c", F.col("c.v")))
+inferred("infer_chains", ("customer", "nation"), "t:inRegion owl:propertyChainAxiom ( t:c_nation t:n_region ) . t:inRegion owl:inverseOf t:holds . t:near a owl:SymmetricProperty . t:holds rdfs:subPropertyOf t:near .", "SELECT ?r (COUNT(?c) AS ?n) { ?c t:near ?r . ?r t:holds ?c } GROUP BY ?r", "SELECT 'urn:tpch:region/' || n_regionkey AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1")
+inferred("infer_keys", ("customer", "supplier", "nation"), "t:Nation owl:hasKey ( t:n_region ) .", "SELECT (COUNT(*) AS ?n) { ?a <http://www.w3.org/2002/07/owl#sameAs> ?b }", "SELECT sum(k*k)::BIGINT AS n FROM (SELECT count(*) AS k FROM nation GROUP BY n_regionkey HAVING count(*)>1)")
+
+
+@registered("SELECT true AS inconsistent, 'cax-dw,cls-com,prp-pdw' AS rules")
+def infer_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "t:Customer owl:disjointWith t:Buyer . t:o_customer rdfs:range t:Buyer . t:Order owl:complementOf t:Doc . t:o_customer rdfs:domain t:Doc . t:o_customer owl:propertyDisjointWith t:buyer . t:buyer owl:equivalentProperty t:o_customer ."
+    r = materialize(as_quads(part_of(spark, sf_dir, "orders", "customer").with_quads(statements(spark, TURTLE + text))))
+    return spark.range(1).select(F.lit(r.inconsistent).alias("inconsistent"), F.lit(",".join(sorted(r.contradictions))).alias("rules"))
