@@ -70,7 +70,7 @@ def read_xml(text: str):
 def read_csv(text: str):
     """CSV says neither kinds nor datatypes: what looks like an IRI or a blank node is one, all else is a plain literal; an empty field is unbound."""
     lines = list(csv.reader(io.StringIO(text)))
-    kind = lambda x: ("bnode", x[2:], None, None) if x.startswith("_:") else ("iri", x, None, None) if re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*:[^\\s]*", x) else literal(x)
+    kind = lambda x: ("bnode", x[2:], None, None) if x.startswith("_:") else ("iri", x, None, None) if re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*:[^\s]*", x) else literal(x)
     names = lines[0] if lines else []
     return names, [{v: kind(x) for v, x in zip(names, r) if x != ""} for r in lines[1:] if r or len(names) == 1]
 

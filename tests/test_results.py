@@ -19,6 +19,7 @@ def test_readers():
         assert results.read_results(text, fmt) == WANT, fmt
     names, rows = results.read_results('x,y\r\nurn:a,1\r\n_:b,\r\n,"h, ""i"""\r\n', "csv")
     assert names == ["x", "y"] and rows == [{"x": ("iri", "urn:a", None, None), "y": ("literal", "1", XSD + "string", None)}, {"x": ("bnode", "b", None, None)}, {"y": ("literal", 'h, "i"', XSD + "string", None)}]
+    assert results.read_results("x\r\nhttps://ex.org/s\r\na: b\r\n", "csv")[1] == [{"x": ("iri", "https://ex.org/s", None, None)}, {"x": ("literal", "a: b", XSD + "string", None)}]
     assert results.read_results('{"head": {}, "boolean": true}', "json") is True
     assert results.read_results('<sparql xmlns="http://www.w3.org/2005/sparql-results#"><head/><boolean>false</boolean></sparql>', "xml") is False
     assert results.read_results("?a\n1.5\n2e0\ntrue\nword\n", "tsv")[1] == [{"a": ("literal", v, XSD + t, None)} for v, t in (("1.5", "decimal"), ("2e0", "double"), ("true", "boolean"), ("word", "string"))]
