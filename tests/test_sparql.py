@@ -73,7 +73,7 @@ def test_stream_into_store(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     (src / "a.nt").write_text("<urn:a> <urn:p> <urn:b> .\nnonsense\n")
-    store = Store(spark)
+    store = Store(spark, path=str(tmp_path / "store"))
     into_store(quad_stream(spark, str(src)), store, str(tmp_path / "cp")).awaitTermination()
     assert store.at().count() == 1
     (src / "b.nt").write_text("<urn:a> <urn:p> <urn:b> .\n<urn:a> <urn:p> <urn:c> .\n")
