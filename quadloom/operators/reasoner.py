@@ -153,6 +153,16 @@ def decode(c: Column) -> Column:
     return F.when(c.startswith('"'), lit).otherwise(F.struct(F.when(c.startswith("_:"), "bnode").otherwise("iri").alias("kind"), c.alias("v"), none.alias("dt"), none.alias("lang")))
 
 
+def datatype(c: str) -> Column:
+    """The datatype of a typed literal written so; of other terms, something that is no datatype."""
+    return F.substring_index(c, '"^^', -1)
+
+
+def lexical(c: str) -> Column:
+    """The lexical form of a typed literal written so."""
+    return F.substring(F.col(c), F.lit(2), F.length(c) - F.length(datatype(c)) - 4)
+
+
 def _match(t: DataFrame, pattern: tuple) -> DataFrame:
     """Rows of triples that fit a pattern, a column a variable."""
     cols: dict[str, Column] = {}
@@ -197,7 +207,7 @@ class Vocabulary:
         words = sorted({x for r in rules for b in r.body for x in b if x[0] != "?" and ":" in x} | {OWL + "hasKey", OWL + "propertyChainAxiom", RDF + "first", RDF + "rest"})
         known = F.when(F.col("p").isin(words), F.col("p"))
         cls = F.when((F.col("p") == RDF + "type") & F.col("o").isin(words), F.col("o"))
-        number = F.coalesce(F.regexp_extract("o", LITERAL, 2).isin(*NUMERICS) & F.col("o").startswith('"'), F.lit(False))
+        number = F.coalesce(datatype("o").isin(*NUMERICS) & F.col("o").startswith('"'), F.lit(False))
         rows = t.select(known.alias("p"), cls.alias("o"), number.alias("number")).where("p is not null or number").groupBy("p", "o", "number").agg(F.count("*").alias("n")).collect()
         self.predicates: dict[str, int] = {}
         self.classes: dict[str, int] = {}
@@ -295,24 +305,25 @@ def _ended(walk: DataFrame, size: DataFrame, k: int) -> DataFrame:
 
 
 def literal_values(t: DataFrame, new: DataFrame) -> DataFrame:
-    """dt-eq: triples whose number is written another way elsewhere, with that other way; either of them among the new ones."""
+    """dt-eq: triples whose number is written another way elsewhere, with that other way; either of them among the new ones, which are part of `t`."""
 
     def numbers(df: DataFrame) -> DataFrame:
-        lit = df.where(F.col("o").startswith('"')).select("s", "p", "o", F.regexp_extract("o", LITERAL, 1).alias("v"), F.regexp_extract("o", LITERAL, 2).alias("dt"))
-        return lit.where(F.col("dt").isin(*NUMERICS)).withColumn("n", F.col("v").try_cast("double")).where("n is not null")
+        lit = df.where(F.col("o").startswith('"') & datatype("o").isin(*NUMERICS))
+        return lit.select("s", "p", "o", lexical("o").try_cast("double").alias("n")).where("n is not null")
 
-    # most numbers are written in one way, and go no further than this count
-    forms = numbers(t).groupBy("n").agg(F.collect_set("o").alias("others"), F.count_distinct("o").alias("k")).where("k > 1").select("n", F.explode("others").alias("other"))
-    met = numbers(new).join(forms, "n")
+    every = numbers(t)
     if new is not t:
-        met = met.unionByName(numbers(t).join(forms, "n").join(numbers(new).select("n").distinct(), "n", "left_semi"))
-    return met.where("o <> other").select("s", "p", F.col("other").alias("o"))
+        every = every.join(numbers(new).select("n").distinct(), "n", "left_semi")
+    # most numbers are written in one way, and go no further than this aggregate of hashes
+    h = F.xxhash64("o")
+    several = every.groupBy("n").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least <> most").select("n")
+    forms = every.join(several, "n", "left_semi").select("n", F.col("o").alias("other")).distinct()
+    return every.join(forms, "n").where("o <> other").select("s", "p", F.col("other").alias("o"))
 
 
 def ill_typed(t: DataFrame) -> DataFrame:
     """dt-not-type: triples whose literal isn't of its datatype."""
-    v, dt = F.regexp_extract("o", LITERAL, 1), F.regexp_extract("o", LITERAL, 2)
-    return t.where(F.col("o").startswith('"')).where(~well_typed(v, dt))
+    return t.where(F.col("o").startswith('"')).where(~well_typed(lexical("o"), datatype("o")))
 
 
 # Lexical forms of datatypes, and the bounds of the bounded integers.

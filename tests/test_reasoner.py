@@ -1,6 +1,6 @@
 """Rules, contradictions and caps of the reasoner."""
 
-from quadloom.operators.reasoner import materialize, parse_rules, RULES
+from quadloom.operators.reasoner import ill_typed, literal_values, materialize, parse_rules, RULES
 from quadloom.sources.rdf_io import load_rdf
 
 HEAD = "@prefix : <urn:> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix owl: <http://www.w3.org/2002/07/owl#> .\n"
@@ -39,3 +39,16 @@ def test_contradictions(spark, tmp_path):
     r, _ = infer(spark, tmp_path, ":x :p :y .", mode="off")
     assert r.inferred_triples == 0
     assert len(parse_rules(RULES)) > 50
+
+
+def test_numbers_written_in_several_ways(spark):
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    one, real = f'"1"^^{xsd}integer', f'"1.0"^^{xsd}double'
+    objects = {"a": one, "b": real, "c": f'"2"^^{xsd}integer', "d": '"1"@en', "e": f'"1"^^{xsd}string', "f": f'"{one}"@en', "g": f'"{one}"^^{xsd}string', "h": f'"x"^^{xsd}integer', "i": "urn:1"}
+    t = spark.createDataFrame([(s, "urn:p", o) for s, o in objects.items()], "s string, p string, o string").repartition(3)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    both = [("a", "urn:p", real), ("b", "urn:p", one)]
+    assert rows(literal_values(t, t)) == both
+    assert rows(literal_values(t, t.where("s = 'b'"))) == both
+    assert rows(literal_values(t, t.where("s = 'c'"))) == []
+    assert rows(ill_typed(t)) == [("h", "urn:p", objects["h"])]
