@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.values import iri_text, to_term
 from .lineage import cut
 from .operators.reasoner import Report, materialize
+from .operators.rowwise import materialize_rows
 from .operators.shacl import validate
 from .plans import compiler
 from .plans.parser import Query, parse_query
@@ -69,16 +70,16 @@ class Engine:
 
     def infer(self, **options) -> tuple["Engine", Report]:
         """An engine that also sees what the rules derive, and the reasoner's report."""
-        quads = as_quads(self.data)
-        report = materialize(quads, **options)
-        own = self.data.quads
-        inferred = cut(report.inferred)
-        # which predicates there are saves scans; of too many nothing is claimed, and the quads are always read
-        names = [r["p"] for r in inferred.select("p").distinct().limit(MANY_PREDICATES + 1).collect()]
-        predicates = set(names) if len(names) <= MANY_PREDICATES else None
+        report = materialize_rows(self.data, **options) or materialize(as_quads(self.data), **options)
+        own, inferred, predicates = self.data.quads, report.inferred, report.predicates
+        if predicates is None:
+            inferred = cut(inferred)
+            # which predicates there are saves scans; of too many nothing is claimed, and the quads are always read
+            names = [r["p"] for r in inferred.select("p").distinct().limit(MANY_PREDICATES + 1).collect()]
+            predicates = set(names) if len(names) <= MANY_PREDICATES else None
         if own is not None:
-            own = own.select("g", "s", "p", "o")
-            inferred, predicates = own.unionByName(inferred).distinct(), None if self.data.predicates is None or predicates is None else predicates | self.data.predicates
+            own = own.select("g", "s", "p", "o").distinct()  # what is inferred is distinct, and none of it known
+            inferred, predicates = own.unionByName(inferred), None if self.data.predicates is None or predicates is None else predicates | self.data.predicates
         return Engine(self.data.with_quads(inferred, predicates), self.prefixes), report
 
     def validate(self, shapes: DataFrame) -> tuple[bool, DataFrame]:

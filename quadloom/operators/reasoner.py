@@ -153,14 +153,19 @@ def decode(c: Column) -> Column:
     return F.when(c.startswith('"'), lit).otherwise(F.struct(F.when(c.startswith("_:"), "bnode").otherwise("iri").alias("kind"), c.alias("v"), none.alias("dt"), none.alias("lang")))
 
 
-def datatype(c: str) -> Column:
+def datatype(c: str | Column) -> Column:
     """The datatype of a typed literal written so; of other terms, something that is no datatype."""
     return F.substring_index(c, '"^^', -1)
 
 
-def lexical(c: str) -> Column:
+def lexical(c: str | Column) -> Column:
     """The lexical form of a typed literal written so."""
-    return F.substring(F.col(c), F.lit(2), F.length(c) - F.length(datatype(c)) - 4)
+    return F.substring(c, F.lit(2), F.length(c) - F.length(datatype(c)) - 4)
+
+
+def literal_number(c: str | Column) -> Column:
+    """The value of a number written so, as a double."""
+    return lexical(c).try_cast("double")
 
 
 def _match(t: DataFrame, pattern: tuple) -> DataFrame:
@@ -309,7 +314,7 @@ def literal_values(t: DataFrame, new: DataFrame) -> DataFrame:
 
     def numbers(df: DataFrame) -> DataFrame:
         lit = df.where(F.col("o").startswith('"') & datatype("o").isin(*NUMERICS))
-        return lit.select("s", "p", "o", lexical("o").try_cast("double").alias("n")).where("n is not null")
+        return lit.select("s", "p", "o", literal_number("o").alias("n")).where("n is not null")
 
     every = numbers(t)
     if new is not t:
@@ -356,7 +361,10 @@ def axioms(spark: SparkSession) -> DataFrame:
 
 @dataclass
 class Report:
-    """inferred: quads that the rules add; its count; whether the caps cut the work; whether the data contradict themselves, and by which rules."""
+    """inferred: quads that the rules add; its count; whether the caps cut the work; whether the data contradict themselves, and by which rules.
+
+    predicates: those of the inferred quads if these are a plan over the tables, else None.
+    """
 
     inferred: DataFrame
     inferred_triples: int
@@ -364,6 +372,7 @@ class Report:
     inconsistent: bool
     contradictions: list[str]
     rounds: int
+    predicates: set[str] | None = None
 
 
 def materialize(quads: DataFrame, mode: str = "forward", max_rounds: int = 64, max_seconds: float | None = None, seed_axioms: bool = False, resources: bool = False) -> Report:
