@@ -10,7 +10,8 @@ packed again, until one group is left, a round gains nothing, or the rounds are
 piece whether the group that it was last packed in met its bound; what isn't certified when the rounds end says so.
 
 The tokeniser's ids are those of the tokenizers library for the whole text.  White space bounds
-this vocabulary's tokens, so ids of blank-separated words are remembered by each worker.
+this vocabulary's tokens, so ids of blank-separated words are remembered by each worker; a new word is split into
+pre-tokens here, and the library's model merges each.
 
 Defined results: null text is empty, and a document without ids is its end id alone; texts are
 read whole, however long; rows that repeat doc_id (null too) are documents of their own, told apart by nothing
@@ -33,9 +34,39 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, hold, named, remember, row_key, text_of, vocabulary_path
 
 #: Entries of each look-up store; a full one becomes the old one, from which what is met again moves on.
-MEMORY = 120_000
-#: The vocabulary's pre-tokens, after its lower-casing.
+MEMORY = 200_000
+#: The vocabulary's pre-tokens, after its lower-casing, and the characters that stand for the 256 bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: chr(0x100 + n) for n, b in enumerate(b for b in range(0x100) if b not in SHOWN)}
+
+
+class Words(dict):
+    """Ids of words, found when a word is first asked for."""
+
+    def __init__(self, model, size: int):
+        self.tokenize = model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(size)]
+        self.split = regex.compile(PATTERN).findall
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha():
+                parts = [word]
+            elif (stem := word[:-1]).isalpha():  # what follows the letters is a pre-token, as it is one character
+                parts = [stem, word[-1]]
+            else:
+                parts = self.split(word)
+            if len(parts) == 1:
+                seen = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+                four = self.four
+                ids = b"".join([four[t.id] for t in self.tokenize(seen)])
+            else:  # pre-tokens are kept as well: by themselves they are split no further
+                ids = b"".join([self[p] for p in parts])
+        self[word] = ids
+        return ids
 
 
 class WordTokenizer:
@@ -51,62 +82,21 @@ class WordTokenizer:
         self.full.no_truncation()
         self.full.no_padding()
         self.special = tuple(t.content for t in self.full.get_added_tokens_decoder().values())
-        # ids of blank-separated words, and of pre-tokens: those met lately and those met before
-        self.known: dict[str, bytes] = {}
-        self.known_old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.words_old: dict[str, bytes] = {}
-        self.split = regex.compile(PATTERN)
-        # a word's last token, and no other, ends in the suffix
-        suffix = self.full.model.end_of_word_suffix
-        ends = np.zeros(self.full.get_vocab_size(), bool)
-        for s, i in self.full.get_vocab(with_added_tokens=False).items():
-            ends[i] = s.endswith(suffix)
-        self.ends = ends
+        self.known = Words(self.full.model, self.full.get_vocab_size())
+        probe = "It's naïve: 42 €-words, they'll ''do Ñandú"
+        if self.encode(probe) != self._whole(probe):
+            raise ValueError("the vocabulary's words aren't those of PATTERN")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.PLAIN.search(text) or any(s in text for s in self.special):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(text)
         known = self.known
-        words = text.lower().split()
-        missing = set(words).difference(known)
-        if not missing:
-            return b"".join([known[w] for w in words])
-        turn(known, self.known_old)
-        turn(self.words, self.words_old)
-        old, new = self.known_old, []
-        for w in missing if known else set(words):
-            if w in old:
-                known[w] = old[w]
-            else:
-                new.append(w)
-        split = {w: self.split.findall(w) for w in new}
-        ids = self.words
-        self._learn({p for parts in split.values() for p in parts if p not in ids})
-        for w, parts in split.items():
-            known[w] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
-        return b"".join([known[w] for w in words])
-
-    def _learn(self, parts: set[str]) -> None:
-        """Ids of pre-tokens, all in one call: blanks part them, and word ends tell whose an id is."""
-        words, old, new = self.words, self.words_old, []
-        for p in parts:
-            if p in old:
-                words[p] = old[p]
-            else:
-                new.append(p)
-        if not new:
-            return
-        ids = np.array(self.full.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(ends) != len(new):
-            raise ValueError("the vocabulary marks no word ends")
-        data = ids.tobytes()
-        at = 0
-        for p, end in zip(new, ends):
-            words[p] = data[at:end]
-            at = end
+        turn(known, known.old)
+        return b"".join([known[w] for w in text.lower().split()])
 
 
 def turn(store: dict, old: dict) -> None:
@@ -136,7 +126,7 @@ def pieces(df: DataFrame, size: int, end_id: int, path: str, text_col: str, id_c
 
     def run(batch):
         t = tokenizer(path)
-        remember(t.known, t.words, t.known_old, t.words_old)
+        remember(t.known, t.known.old)
         at: list[int] = []
         cols: list[list[int]] = [[], [], [], []]
         for n, text in enumerate(batch.column(2).to_pylist()):
