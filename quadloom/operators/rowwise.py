@@ -3,7 +3,7 @@
 A rule is local if all its patterns over instances are about one subject and share no object.  If the
 rules that an ontology sets off are all local, what a row's subject is inferred to be follows from the cells that
 the ontology's terms are about: which are bound, and which hold one of its terms.  One made-up subject stands for all
-rows alike in that, the reasoner closes ontology and such subjects, and what it adds is read off the rows
+rows alike in that, the driver closes ontology and such subjects (`small`), and what it adds is read off the rows
 by a broadcast join whenever a query asks for it.  Numbers written in several ways are joined in the same manner.
 Anything else (other rules, subjects in several tables or in the quads, rows of a subject that differ, numbers among
 the quads) is left to `materialize`.
@@ -17,11 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import BOOLEAN, DATETIME, DOUBLE, FLOAT, INTEGER, STRING, TERM, TERM_SCHEMA, Value, iri_text, lexical_of, to_term
+from ..functions.values import BOOLEAN, DATETIME, DOUBLE, FLOAT, INTEGER, STRING, TERM, Value, iri_text, lexical_of, to_term
 from ..lineage import cut
 from ..sources.mapping import Dataset, TableMap
-from ..terms import NUMERICS, OWL, RDF
-from .reasoner import CONTRADICTIONS, FEW, MEMBER, RULES, Report, Rule, Vocabulary, decode, encode, literal_number, materialize, parse_rules, well_typed
+from ..terms import NUMERICS, OWL, RDF, XSD
+from .reasoner import BOUNDS, CONTRADICTIONS, FEW, FORMS, RULES, Report, decode, encode, ill_typed, literal_number, parse_rules, well_typed
+from .small import TooMuch, close
 
 #: Quads of an ontology, and kinds of rows, up to which it is tried.
 MOST = 10_000
@@ -30,26 +31,6 @@ ROW, SOME = "urn:quadloom:row:", "urn:quadloom:some:"
 TYPE = RDF + "type"
 
 
-def _instance(pattern: tuple) -> bool:
-    _, p, o = pattern
-    return p[0] == "?" or p == TYPE and o[0] == "?"
-
-
-def is_local(rule: Rule) -> bool:
-    """Whether a rule derives from single subjects of tables, whatever their cells' values, nothing but triples of theirs."""
-    about = [b for b in rule.body if _instance(b)]
-    if not about:
-        return True
-    subjects, objects = {b[0] for b in about}, [b[2] for b in about if b[1][0] == "?"]
-    x = about[0][0]
-    return len(subjects) == 1 and x not in objects and len(set(objects)) == len(objects) and rule.unequal is None and all(h[0] == x for h in rule.head)
-
-
-def _active(rule: Rule, seen: Vocabulary) -> bool:
-    """Whether the vocabulary has what a rule wants of it."""
-    return all(seen.may(b) for b in rule.body if not _instance(b))
-
-
 @dataclass
 class Rows:
     """A table's subjects as `s`, the cells that matter to an ontology as encoded columns `names`, and numbers as their own columns."""
@@ -189,32 +170,29 @@ def materialize_rows(data: Dataset, **options) -> Report | None:
             kinds[s] = (n, row["key"], row["n"])
             made += [(s, p, row[c]) for p, c in cells if row[c] is not None] + ([(s, TYPE, r.table.cls)] if r.table.cls else [])
     spark = data.spark
-    stand_ins = spark.createDataFrame(made, "s string, p string, o string").select(F.lit(None).cast("string").alias("g"), "s", "p", decode(F.col("o")).alias("o"))
-    report = materialize(own.unionByName(stand_ins))
-    inferred = report.inferred
-    seen = Vocabulary(own.unionByName(stand_ins).unionByName(inferred).select("s", "p", encode(F.col("o")).alias("o")), rules + contradictions)
-    seen.predicates[MEMBER] = 1
-    if any(OWL + p in seen.predicates for p in ("hasKey", "propertyChainAxiom")):
+    encoded = [(r["s"], r["p"], r["o"]) for r in own.select("s", "p", encode(F.col("o")).alias("o")).collect()]
+    try:
+        added, found, rounds = close(encoded + made, rules, contradictions)
+    except TooMuch:
         return None
-    added = {r["p"] for r in inferred.select("p").distinct().collect()}
-    things = OWL + "someValuesFrom" not in added and all(q["o"]["v"] == OWL + "Thing" for q in quads if q["p"] == OWL + "someValuesFrom")
-    for r in rules + contradictions:  # cls-svf1 adds nothing to cls-svf2 for owl:Thing
-        if not is_local(r) and _active(r, seen) and not (r.name == "cls-svf1" and things):
-            return None
     templates: dict[tuple[int, str], list] = {}
-    total = report.inferred_triples
-    for t in inferred.where(F.col("s").startswith(ROW)).collect():
-        if t["p"] in words - {TYPE} or t["o"]["v"].startswith(SOME) or t["p"] == TYPE and t["o"]["v"] in words - {OWL + "Thing", OWL + "Nothing"}:
+    total, rest = 0, []
+    for s, p, o in added:
+        if not s.startswith(ROW):
+            rest.append((s, p, o))
+            total += 1
+            continue
+        if p in words - {TYPE} or o.startswith(SOME) or p == TYPE and o in words - {OWL + "Thing", OWL + "Nothing"}:
             return None
-        n, key, many = kinds[t["s"]]
-        templates.setdefault((n, t["p"]), []).append((key, t["o"]))
-        total += many - 1
-    parts = [inferred.where(~F.col("s").startswith(ROW)).select("g", "s", "p", "o")]
-    predicates = {r["p"] for r in parts[0].select("p").distinct().collect()}
+        n, key, many = kinds[s]
+        templates.setdefault((n, p), []).append((key, o))
+        total += many
+    predicates = {p for _, p, _ in rest}
+    parts = [spark.createDataFrame(rest, "s string, p string, o string").select(F.lit(None).cast("string").alias("g"), "s", "p", decode(F.col("o")).alias("o"))]
     none = F.lit(None).cast("string").alias("g")
     for (n, p), rows in templates.items():
         r = tables_once[n]
-        have = spark.createDataFrame(rows, f"key string, o {TERM_SCHEMA}")
+        have = spark.createDataFrame(rows, "key string, o string").select("key", decode(F.col("o")).alias("o"))
         parts.append(r.df.select("s", r.key().alias("key")).join(F.broadcast(have), "key").select(none, "s", F.lit(p).alias("p"), "o"))
         predicates.add(p)
     written = _forms(tables_once)
@@ -229,8 +207,7 @@ def materialize_rows(data: Dataset, **options) -> Report | None:
                 parts.append(other.select(none, "s", F.lit(p).alias("p"), decode(F.col("other")).alias("o")))
                 predicates.add(p)
                 total += many
-    found = list(report.contradictions)
-    if "dt-not-type" not in found and any(_ill_typed(m) for m in tables):
+    typed = any(q["o"]["dt"] in FORMS or (q["o"]["dt"] or "").removeprefix(XSD) in BOUNDS for q in quads)
+    if typed and not ill_typed(own.select(encode(F.col("o")).alias("o"))).isEmpty() or any(_ill_typed(m) for m in tables):
         found.append("dt-not-type")
-    return Report(reduce(DataFrame.unionByName, parts), total, report.timed_out, bool(found), found, report.rounds, predicates)
-
+    return Report(reduce(DataFrame.unionByName, parts), total, False, bool(found), found, rounds, predicates)

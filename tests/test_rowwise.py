@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quadloom.engine import Engine, as_quads
 from quadloom.lineage import shared_folder
 from quadloom.operators.reasoner import CONTRADICTIONS, RULES, materialize, parse_rules
-from quadloom.operators.rowwise import is_local, materialize_rows
+from quadloom.operators.rowwise import materialize_rows
+from quadloom.operators.small import is_local
 from quadloom.queries import TURTLE, statements
 from quadloom.sources.mapping import Dataset, map_table
 
