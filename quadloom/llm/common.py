@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -40,10 +42,35 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: How intermediate files are written where the shared folder is a local one; other file systems ignore it.  Hadoop's usual class for local files
+#: starts a `chmod` for each file and once more for its check sums, and a process just started shares, and counts with, all of the executor's memory.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+_plain: list[dict] = []  # one entry for each checkpoint being made, the same for all: the settings before the first
+_plain_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def plain_files(spark: SparkSession):
+    """Within it, PLAIN_FILES hold for the session's Hadoop settings, since a checkpoint takes no options; local files read meanwhile go without check sums too."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    with _plain_lock:
+        _plain.append(_plain[0] if _plain else {k: conf.get(k) for k in PLAIN_FILES})
+        for k, v in PLAIN_FILES.items():
+            conf.set(k, v)
+    try:
+        yield
+    finally:
+        with _plain_lock:
+            before = _plain.pop()
+            for k, v in before.items() if not _plain else ():
+                conf.unset(k) if v is None else conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with plain_files(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 class Stored:
@@ -55,7 +82,7 @@ class Stored:
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.options(**PLAIN_FILES).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -96,8 +123,12 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows of a record batch that goes back to Spark, which holds each whole beside its heap.
+BATCH = 10_000
+
+
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
-    """`mapInArrow` with `fn(batch) -> dict of columns` called on bounded record batches.
+    """`mapInArrow` with `fn(batch) -> dict of columns` called on bounded record batches; what it returns goes back in bounded ones.
 
     What `fn` remembers in registered stores is let go at the end of each partition.
     """
@@ -108,7 +139,9 @@ def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
             for batch in batches:
                 if batch.num_rows:
                     out = fn(batch)
-                    yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.values()], names=list(out))
+                    out = pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.values()], names=list(out))
+                    for at in range(0, out.num_rows, BATCH):
+                        yield out.slice(at, BATCH)
         finally:
             release()
 
